@@ -56,7 +56,8 @@ def scores(df: DataFrame, original_rows: int, as_of: Column, rules: dict[str, Co
     for i, c in enumerate(texts):
         aggs += [F.count_distinct(F.length(c)).alias(f"_p{i}"), F.count(c).alias(f"_c{i}")]
     if times:
-        age = F.datediff(as_of, F.max(times[0]))
+        newest = F.max(F.col(times[0]).cast("timestamp"))
+        age = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(newest)) / F.lit(86_400_000_000))
         aggs.append(F.greatest(F.lit(0.0), 1 - F.coalesce(age, F.lit(365)) / 30.0).alias("timeliness"))
     else:
         aggs.append(F.lit(1.0).alias("timeliness"))

@@ -76,6 +76,12 @@ class KeyedRows:
         hot = counts.filter(F.col("_n") > self.limit)
         self.hot = None if hot.isEmpty() else cut(hot)
 
+    def on(self, df: DataFrame) -> KeyedRows:
+        """The same keys over other rows of the same table; hot keys are not counted again."""
+        same = KeyedRows.__new__(KeyedRows)
+        same.df, same.keys, same.order, same.limit, same.hot = df, self.keys, self.order, self.limit, self.hot
+        return same
+
     # -- splitting -----------------------------------------------------------
 
     def _hot_keys(self) -> DataFrame:
@@ -187,9 +193,7 @@ class KeyedRows:
         if self.hot is None:
             return self.df.select("*", *plain)
         size = max(self.limit, before, after)
-        hot = KeyedRows.__new__(KeyedRows)
-        hot.df, hot.keys, hot.order, hot.limit, hot.hot = self.hot_rows(), self.keys, self.order, self.limit, self.hot
-        placed = hot.running({"_at": ("count", F.lit(1))}).withColumn("_at", F.col("_at") - 1)
+        placed = self.on(self.hot_rows()).running({"_at": ("count", F.lit(1))}).withColumn("_at", F.col("_at") - 1)
         own = F.floor(F.col("_at") / F.lit(size))
         offset = F.col("_at") - own * size
         copies = F.array_compact(
@@ -219,14 +223,15 @@ class KeyedRows:
 
     # -- per-key results -----------------------------------------------------
 
-    def attach(self, stats: DataFrame) -> DataFrame:
-        """Left join of a one-row-per-key table onto the rows."""
+    def attach(self, stats: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        """Left join of a table with few rows per key (one per ``extra`` value)."""
+        on = [*self.keys, *extra]
         if self.hot is None:
-            return self.df.join(stats, self.keys, "left")
+            return self.df.join(stats, on, "left")
         hot_stats = stats.join(self._hot_keys(), self.keys, "left_semi")
         cold_stats = stats.join(self._hot_keys(), self.keys, "left_anti")
-        cold = self.cold_rows().join(cold_stats, self.keys, "left")
-        hot = self.hot_rows().join(F.broadcast(hot_stats), self.keys, "left")
+        cold = self.cold_rows().join(cold_stats, on, "left")
+        hot = self.hot_rows().join(F.broadcast(hot_stats), on, "left")
         return cold.unionByName(hot)
 
     def quantiles(self, wanted: dict[str, tuple[str, float]]) -> DataFrame:

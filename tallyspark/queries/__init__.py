@@ -2,4 +2,5 @@
 
 from tallyspark.queries import ledger  # noqa: F401
 from tallyspark.queries import bars  # noqa: F401
+from tallyspark.queries import cleaning  # noqa: F401
 from tallyspark.queries.registry import QUERIES, Query  # noqa: F401
