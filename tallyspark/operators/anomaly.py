@@ -200,11 +200,11 @@ def density_noise(
         )
     )
     spread = thin.withColumn("_copy", F.explode(copies)).select("*", "_copy.b", "_copy.halo").drop("_copy")
-    near = Window.partitionBy(*keys, "b").orderBy("_v").rangeBetween(-eps, eps)
-    core = (F.col("_held") >= least) | (F.sum("_c").over(near) >= least)
-    marked = spread.withColumn("_core", core.cast("int"))
+    parts = ", ".join(f"`{k}`" for k in [*keys, "b"])
+    near = f"OVER (PARTITION BY {parts} ORDER BY _v RANGE BETWEEN {eps!r}D PRECEDING AND {eps!r}D FOLLOWING)"
+    marked = spread.withColumn("_core", F.expr(f"int(_held >= {least} OR sum(_c) {near} >= {least})"))
     lonely = (
-        marked.withColumn("_near", F.max("_core").over(near))
+        marked.withColumn("_near", F.expr(f"max(_core) {near}"))
         .filter(~F.col("halo") & (F.col("_near") == 0))
         .select(*keys, F.col("_v").alias(value), F.lit(True).alias(name))
     )
