@@ -41,6 +41,7 @@ class Groups:
         self.rows = KeyedRows(df, self.keys) if self.keys else None
 
     def aggregate(self, df: DataFrame, *aggs: Column) -> DataFrame:
+        """Group statistics joined onto the rows they come from."""
         stats = df.groupBy(*self.keys).agg(*aggs) if self.keys else df.agg(*aggs)
         return self.join(df, stats)
 

@@ -132,9 +132,8 @@ def indicators(
 
 def rsi(bars: DataFrame, key: str = KEY) -> DataFrame:
     """RSI over 7 rows (null until full) and over 5 rows (from the first row)."""
-    moves = indicators(
-        bars, lambda w: {"_move": F.col("close") - F.lag("close", 1).over(w)}, before=1, key=key
-    )
+    rows = KeyedRows(bars, [key], [ORDER])
+    moves = rows.rolling(1, 0, lambda w: {"_move": F.col("close") - F.lag("close", 1).over(w)})
     gain = F.when(F.col("_move") > 0, F.col("_move")).otherwise(0.0)
     loss = F.when(F.col("_move") < 0, -F.col("_move")).otherwise(0.0)
     moves = moves.withColumns({"_gain": gain, "_loss": loss})
@@ -145,7 +144,7 @@ def rsi(bars: DataFrame, key: str = KEY) -> DataFrame:
         strong = F.when(l7 > 0, 100 - 100 / (1 + F.try_divide(g7, l7))).when(g7 > 0, 100.0)
         return {"rsi_7": _full(strong, w, 7), "rsi_5": 100 - 100 / (1 + g5 / (l5 + 1e-8))}
 
-    return KeyedRows(moves, [key], [ORDER]).rolling(6, 0, build).drop("_move", "_gain", "_loss")
+    return rows.on(moves).rolling(6, 0, build).drop("_move", "_gain", "_loss")
 
 
 # Weights below this share of the newest one cannot change a double.

@@ -84,22 +84,24 @@ def missing_ratios(df: DataFrame) -> DataFrame:
 
 def forward_back_fill(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last value before a gap, else the first value after it."""
-    rows = KeyedRows(df, keys, order).running({f"_f_{c}": ("last", F.col(c)) for c in columns})
-    rows = KeyedRows(rows, keys, order).running({f"_b_{c}": ("last", F.col(c)) for c in columns}, reverse=True)
-    return rows.withColumns({c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_b_{c}")) for c in columns}).drop(
+    rows = KeyedRows(df, keys, order)
+    ahead = rows.running({f"_f_{c}": ("last", F.col(c)) for c in columns})
+    both = rows.on(ahead).running({f"_b_{c}": ("last", F.col(c)) for c in columns}, reverse=True)
+    return both.withColumns({c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_b_{c}")) for c in columns}).drop(
         *[f"_{d}_{c}" for c in columns for d in "fb"]
     )
 
 
 def interpolate(df: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Linear by row position; leading nulls stay, trailing ones take the last value."""
-    placed = KeyedRows(df, keys, order).running({"_at": ("count", F.lit(1))})
+    keyed = KeyedRows(df, keys, order)
+    placed = keyed.on(keyed.running({"_at": ("count", F.lit(1))}))
 
     def known(c: str) -> Column:
         return F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), F.col("_at").alias("at")))
 
-    rows = KeyedRows(placed, keys, order).running({f"_p_{c}": ("last", known(c)) for c in columns})
-    rows = KeyedRows(rows, keys, order).running({f"_n_{c}": ("last", known(c)) for c in columns}, reverse=True)
+    before = placed.running({f"_p_{c}": ("last", known(c)) for c in columns})
+    rows = placed.on(before).running({f"_n_{c}": ("last", known(c)) for c in columns}, reverse=True)
 
     def fill(c: str) -> Column:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")

@@ -49,7 +49,7 @@ def running_balance(tx: DataFrame, users: DataFrame) -> DataFrame:
     """Balance after each transaction, in (date, id) order, from an opening balance."""
     rows = KeyedRows(tx, ["user_id"], ["date", "id"])
     moved = rows.running({"moved": ("sum", F.col("amount"))})
-    opening = KeyedRows(moved, ["user_id"]).attach(users.select("user_id", "opening"))
+    opening = rows.on(moved).attach(users.select("user_id", "opening"))
     return opening.withColumn("balance_after", F.coalesce("opening", F.lit(0.0)) + F.col("moved")).drop(
         "opening", "moved"
     )

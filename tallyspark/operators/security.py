@@ -24,27 +24,29 @@ def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def idle_sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: int) -> DataFrame:
-    """Adds ``_session``, which grows by one after ``seconds`` without a row, and ``_pos``."""
+def _idle_sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: int) -> tuple[KeyedRows, DataFrame]:
     rows = KeyedRows(df.withColumn("_t", _micros(order[0])), keys, order)
     seen = rows.running({"_prev": ("last", F.col("_t"))}, exclusive=True)
     starts = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= seconds * 1_000_000)
-    return (
-        rows.on(seen)
-        .running({"_session": ("sum", starts.cast("int")), "_pos": ("count", F.lit(1))})
-        .drop("_prev", "_t")
-    )
+    numbered = rows.on(seen).running({"_session": ("sum", starts.cast("int")), "_pos": ("count", F.lit(1))})
+    return rows, numbered.drop("_prev", "_t")
+
+
+def idle_sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: int) -> DataFrame:
+    """Adds ``_session``, which grows by one after ``seconds`` without a row, and ``_pos``."""
+    return _idle_sessions(df, keys, order, seconds)[1]
 
 
 def live_counter(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: int, name: str) -> DataFrame:
     """Counter that each row renews and that restarts after ``seconds`` without one."""
-    rows = idle_sessions(df, keys, order, seconds)
-    first = rows.groupBy(*keys, "_session").agg(F.min("_pos").alias("_first"))
-    counted = KeyedRows(rows, [*keys, "_session"]).attach(first)
+    rows, numbered = _idle_sessions(df, keys, order, seconds)
+    numbered = rows.on(numbered)
+    first = numbered.df.groupBy(*keys, "_session").agg(F.min("_pos").alias("_first"))
+    counted = numbered.attach(first, extra=["_session"])
     return counted.withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_session", "_pos", "_first")
 
 
-def known_epochs(successes: DataFrame, user: str, item: str, life: int = KNOWN_LIFE) -> DataFrame:
+def known_lives(successes: KeyedRows, user: str, item: str, life: int = KNOWN_LIFE) -> DataFrame:
     """Lives of each user's set of known items: (user, start, end) in microseconds.
 
     The set dies ``life`` seconds after its last addition, so a life ends at the first
@@ -52,48 +54,41 @@ def known_epochs(successes: DataFrame, user: str, item: str, life: int = KNOWN_L
     are at most (time span / life) rounds, one for logs shorter than that.
     """
     life_us = life * 1_000_000
-    slim = successes.select(user, item, _micros("ts").alias("t"))
+    slim = successes.df.select(user, item, _micros("ts").alias("t"))
+    rows = successes.on(slim)
     starts = slim.groupBy(user).agg(F.min("t").alias("start"))
     done = None
     while True:
-        current = KeyedRows(slim, [user]).attach(starts).filter(F.col("t") >= F.col("start"))
+        current = rows.attach(starts).filter(F.col("t") >= F.col("start"))
         added = current.groupBy(user, item).agg(F.min("t").alias("t"), F.min("start").alias("start"))
         steps = KeyedRows(added, [user], ["t", item]).running({"_prev": ("last", F.col("t"))}, exclusive=True)
+        gap = F.when(F.col("t") - F.col("_prev") >= life_us, F.col("_prev"))
         ends = steps.groupBy(user).agg(
-            F.min("start").alias("start"),
-            F.coalesce(
-                F.min(F.when(F.col("t") - F.col("_prev") >= life_us, F.col("_prev"))), F.max("t")
-            ).alias("last"),
-        ).select(user, "start", (F.col("last") + life_us).alias("end"))
+            F.min("start").alias("start"), (F.coalesce(F.min(gap), F.max("t")) + life_us).alias("end")
+        )
         ends = cut(ends)
         done = ends if done is None else done.unionByName(ends)
-        later = KeyedRows(slim, [user]).attach(ends).filter(F.col("t") >= F.col("end"))
-        starts = cut(later.groupBy(user).agg(F.min("t").alias("start")))
+        later = rows.attach(ends.drop("start")).filter(F.col("t") >= F.col("end"))
+        starts = later.groupBy(user).agg(F.min("t").alias("start"))
         if starts.isEmpty():
             return done
+        starts = cut(starts)
 
 
 def known_before(df: DataFrame, user: str, item: str, ok: Column, name: str, life: int = KNOWN_LIFE) -> DataFrame:
     """Whether the user succeeded with the item earlier in the set's current life."""
-    successes = df.filter(ok)
-    lives = known_epochs(successes, user, item, life)
+    rows = KeyedRows(df, [user])
+    lives = known_lives(rows.on(df.filter(ok)), user, item, life)
     # A life lasts at least ``life``, so the list per user is bounded by the calendar.
     packed = lives.groupBy(user).agg(F.collect_list(F.struct("start", "end")).alias("_lives"))
-
-    def within(rows: DataFrame) -> DataFrame:
-        held = KeyedRows(rows.withColumn("_t", _micros("ts")), [user]).attach(packed)
-        inside = F.filter("_lives", lambda x: (F.col("_t") >= x["start"]) & (F.col("_t") < x["end"]))
-        return held.withColumn("_life", F.get(inside, F.lit(0))["start"]).drop("_lives", "_t")
-
-    first = (
-        within(successes)
-        .groupBy(user, "_life", item)
-        .agg(F.min(F.struct("ts", "id")).alias("_first"))
+    held = rows.attach(packed).withColumn("_t", _micros("ts"))
+    inside = F.filter("_lives", lambda x: (F.col("_t") >= x["start"]) & (F.col("_t") < x["end"]))
+    held = rows.on(held.withColumn("_life", F.get(inside, F.lit(0))["start"]).drop("_lives", "_t"))
+    first = held.df.filter(ok).groupBy(user, "_life", item).agg(F.min(F.struct("ts", "id")).alias("_first"))
+    marked = KeyedRows(held.df, [user, "_life", item]).attach(first)
+    return marked.withColumn(name, F.coalesce(F.col("_first") < F.struct("ts", "id"), F.lit(False))).drop(
+        "_first", "_life"
     )
-    marked = KeyedRows(within(df), [user, "_life", item]).attach(first)
-    return marked.withColumn(
-        name, F.coalesce(F.col("_first") < F.struct("ts", "id"), F.lit(False))
-    ).drop("_first", "_life")
 
 
 def login_risk(logins: DataFrame) -> DataFrame:

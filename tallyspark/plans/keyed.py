@@ -63,23 +63,28 @@ class KeyedRows:
         self.order = list(order)
         self.limit = limit or hot_row_limit(df)
         counts = df.groupBy(*self.keys).agg(
-            F.count(F.lit(1)).alias("_n"),
+            F.count(F.lit(1)).alias("_hk_n"),
             *(
                 [
-                    F.min(as_number(df, self.order[0])).alias("_lo"),
-                    F.max(as_number(df, self.order[0])).alias("_hi"),
+                    F.min(as_number(df, self.order[0])).alias("_hk_lo"),
+                    F.max(as_number(df, self.order[0])).alias("_hk_hi"),
                 ]
                 if self.order
                 else []
             ),
         )
-        hot = counts.filter(F.col("_n") > self.limit)
+        hot = counts.filter(F.col("_hk_n") > self.limit)
         self.hot = None if hot.isEmpty() else cut(hot)
 
     def on(self, df: DataFrame) -> KeyedRows:
-        """The same keys over other rows of the same table; hot keys are not counted again."""
+        """The same keys over other rows of the same table; hot keys are not counted again.
+
+        With hot keys the rows are read several times, so derived rows are checkpointed
+        first; without them the plan stays one pass.
+        """
         same = KeyedRows.__new__(KeyedRows)
-        same.df, same.keys, same.order, same.limit, same.hot = df, self.keys, self.order, self.limit, self.hot
+        same.keys, same.order, same.limit, same.hot = self.keys, self.order, self.limit, self.hot
+        same.df = df if self.hot is None else cut(df)
         return same
 
     # -- splitting -----------------------------------------------------------
@@ -95,13 +100,13 @@ class KeyedRows:
 
     def _with_pieces(self, df: DataFrame) -> DataFrame:
         """Adds ``_piece``: 0 for cold keys, 1.. along the order axis for hot ones."""
-        pieces = F.ceil(F.col("_n") * OVERSPLIT / F.lit(self.limit))
-        share = F.try_divide(as_number(df, self.order[0]) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        pieces = F.ceil(F.col("_hk_n") * OVERSPLIT / F.lit(self.limit))
+        share = F.try_divide(as_number(df, self.order[0]) - F.col("_hk_lo"), F.col("_hk_hi") - F.col("_hk_lo"))
         piece = 1 + F.least(F.floor(F.coalesce(share, F.lit(0.0)) * pieces), pieces - 1)
         return (
             df.join(F.broadcast(self.hot), self.keys, "left")
             .withColumn("_piece", F.coalesce(piece.cast("int"), F.lit(0)))
-            .drop("_n", "_lo", "_hi")
+            .drop("_hk_n", "_hk_lo", "_hk_hi")
         )
 
     # -- expanding frames ----------------------------------------------------
@@ -193,7 +198,9 @@ class KeyedRows:
         if self.hot is None:
             return self.df.select("*", *plain)
         size = max(self.limit, before, after)
-        placed = self.on(self.hot_rows()).running({"_at": ("count", F.lit(1))}).withColumn("_at", F.col("_at") - 1)
+        hot = KeyedRows.__new__(KeyedRows)
+        hot.df, hot.keys, hot.order, hot.limit, hot.hot = self.hot_rows(), self.keys, self.order, self.limit, self.hot
+        placed = hot.running({"_at": ("count", F.lit(1))}).withColumn("_at", F.col("_at") - 1)
         own = F.floor(F.col("_at") / F.lit(size))
         offset = F.col("_at") - own * size
         copies = F.array_compact(
@@ -240,12 +247,18 @@ class KeyedRows:
         if self.hot is None:
             return self.df.groupBy(*self.keys).agg(*exact)
         cold = self.cold_rows().groupBy(*self.keys).agg(*exact)
-        return cold.unionByName(_ranked_quantiles(self.hot_rows(), self.keys, wanted))
+        return cold.unionByName(_ranked_quantiles(self.hot_rows(), self.keys, wanted, self.limit))
+
 
+def _ranked_quantiles(
+    df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], least_rows: int
+) -> DataFrame:
+    """Quantiles of few, large groups: sketch a value range per rank, then count.
 
-def _ranked_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """Quantiles of few, large groups: sketch a value range per rank, then count."""
-    slack = 4.0 / SKETCH_ACCURACY
+    The range is wider than the sketch's error and at least two rows wide in a group
+    of ``least_rows``; a rank outside it would be an error, not a wrong value.
+    """
+    slack = 4.0 / SKETCH_ACCURACY + 2.0 / least_rows
     aggs = []
     for i, (c, p) in enumerate(wanted.values()):
         lo, hi = max(0.0, p - slack), min(1.0, p + slack)
@@ -302,9 +315,10 @@ def table_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], limit:
     """One row of exact quantiles over the whole table."""
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     df = df.select(*columns)
-    if df.count() <= (limit or hot_row_limit(df)):
+    limit = limit or hot_row_limit(df)
+    if df.count() <= limit:
         return df.agg(*[F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()])
-    return _ranked_quantiles(df, [], wanted)
+    return _ranked_quantiles(df, [], wanted, limit)
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
