@@ -51,9 +51,9 @@ def boosted_trees_many(label: str, features: str, rounds: int = 80, depth: int =
     return OneVsRest(classifier=one, labelCol=label, featuresCol=features, parallelism=4)
 
 
-def linear_svc(label: str, features: str):
+def linear_svc(label: str, features: str, rounds: int = 50):
     """Stands in for the kernel machine; its margin becomes a probability by the logistic function."""
-    return LinearSVC(labelCol=label, featuresCol=features, regParam=0.01, maxIter=50)
+    return LinearSVC(labelCol=label, featuresCol=features, regParam=0.01, maxIter=rounds)
 
 
 def logistic(label: str, features: str, reg: float = 0.01):
@@ -67,8 +67,10 @@ def class_probabilities(model, df: DataFrame, name: str) -> DataFrame:
     if "probability" in scored.columns:
         p: Column = vector_to_array("probability")
     else:
-        odds = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
-        p = F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda a, b: a + b))
+        scored = scored.withColumn(
+            "_odds", F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
+        ).withColumn("_sum", F.aggregate("_odds", F.lit(0.0), lambda a, b: a + b))
+        p = F.transform("_odds", lambda x: x / F.col("_sum"))
     return scored.withColumn(name, p).select(*keep, name)
 
 

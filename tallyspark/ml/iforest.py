@@ -59,7 +59,10 @@ def fit_forest(df: DataFrame, features: Sequence[str], key: str, seed: int = 42)
     pool_share = F.lit(4.0 * TREES * TREE_ROWS) / total
     pool = df.select(key, *names).filter(uniform(f"pool{seed}", F.col(key)) < pool_share)
     spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    own = Window.partitionBy("tree").orderBy(uniform(f"tree{seed}", F.col("tree"), F.col(key)), key)
+    spread = spread.withColumn("_u", uniform(f"tree{seed}", F.col("tree"), F.col(key)))
+    # A tree needs the smallest of the pool's hashes only; four times as many are ample.
+    spread = spread.filter(F.col("_u") < F.greatest(F.lit(4.0 * TREE_ROWS) / total, F.lit(1.0 / TREES)))
+    own = Window.partitionBy("tree").orderBy("_u", key)
     chosen = spread.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= TREE_ROWS)
 
     def build(part: pd.DataFrame) -> pd.DataFrame:

@@ -33,7 +33,7 @@ def sentiment(articles: DataFrame, content: str = "content") -> DataFrame:
     lexicon = F.create_map(*pairs)
     tokens = F.split(F.lower(content), r"(?U)\W+")
     known = F.filter(F.transform(tokens, lambda w: F.element_at(lexicon, w)), lambda p: p.isNotNull())
-    total = F.aggregate(known, F.lit(0.0), lambda a, p: a + p)
+    total = F.aggregate("_known", F.lit(0.0), lambda a, p: a + p)
     return articles.withColumn("_known", known).withColumn(
         "sentiment_score",
         F.when(F.size("_known") > 0, total / F.size("_known")).otherwise(0.0),

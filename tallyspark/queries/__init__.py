@@ -6,4 +6,5 @@ from tallyspark.queries import cleaning  # noqa: F401
 from tallyspark.queries import anomaly, fraud  # noqa: F401
 from tallyspark.queries import news, forum, planning, assets, security  # noqa: F401
 from tallyspark.queries import models  # noqa: F401
+from tallyspark.queries import streams  # noqa: F401
 from tallyspark.queries.registry import QUERIES, Query  # noqa: F401

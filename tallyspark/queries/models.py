@@ -424,7 +424,7 @@ def _people(spark, folder):
 def income_predictions(spark, folder):
     """Income class of held-out people by a stacked ensemble."""
     rows = split.stratified_folds(_people(spark, folder), "label", "id").persist()
-    model = jobs.fit_income(rows.filter("fold <> 0"), _NUMBERS, _TEXTS, "label", "id", trees=10, more=10)
+    model = jobs.fit_income(rows.filter("fold <> 0"), _NUMBERS, _TEXTS, "label", "id", trees=10, more=10, depth=5, rounds=10)
     return _shown(model.transform(rows.filter("fold = 0")), "id", "label")
 
 
