@@ -32,14 +32,14 @@ def interval_for_days(days: int) -> str:
 
 def resample(ticks: DataFrame, interval: str, key: str = KEY, ts: str = "ts", value: str = "value") -> DataFrame:
     """Bars from ticks; aggregates partially before the shuffle, so hot symbols are small."""
-    opened = ticks.select(key, F.window(ts, interval).start.alias("bar_start"), ts, value)
-    return opened.groupBy(key, "bar_start").agg(
+    grouped = ticks.groupBy(key, F.window(ts, interval).alias("_w")).agg(
         F.min_by(value, ts).alias("open"),
         F.max(value).alias("high"),
         F.min(value).alias("low"),
         F.max_by(value, ts).alias("close"),
         F.count(F.lit(1)).alias("volume"),
     )
+    return grouped.select(key, F.col("_w.start").alias("bar_start"), "open", "high", "low", "close", "volume")
 
 
 def price_features(bars: DataFrame) -> DataFrame:

@@ -171,7 +171,9 @@ def hourly(path: str, ts: str) -> Callable[[DataFrame, int], None]:
     """Batch writer partitioned by the hour of ``ts``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_once(path, ["hour"])(batch.withColumn("hour", F.date_format(ts, "yyyy-MM-dd-HH")), batch_id)
+        # Few files per hour; a very busy hour is split again by the adaptive planner.
+        hours = batch.withColumn("hour", F.date_format(ts, "yyyy-MM-dd-HH")).hint("rebalance", "hour")
+        write_once(path, ["hour"])(hours, batch_id)
 
     return write
 
