@@ -8,4 +8,5 @@ from tallyspark.queries import news, forum, planning, assets, security  # noqa:
 from tallyspark.queries import models  # noqa: F401
 from tallyspark.queries import streams  # noqa: F401
 from tallyspark.queries import payloads, synth  # noqa: F401
+from tallyspark.queries import store  # noqa: F401
 from tallyspark.queries.registry import QUERIES, Query  # noqa: F401

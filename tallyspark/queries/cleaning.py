@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyspark.operators import anomaly, cleaning, quality
+from tallyspark.operators import anomaly, cleaner, cleaning, quality
 from tallyspark.plans.keyed import table_quantiles, with_scalars
 from tallyspark.queries.bars import rounded
 from tallyspark.queries.registry import query
@@ -399,3 +399,95 @@ SELECT id, round(energy, 6) AS energy, round(CASE WHEN hit AND value IS NOT NULL
 def outliers_handled(spark, folder):
     rows = views.readings(spark, folder).select("id", "value", (F.col("full_value") * F.col("k")).alias("energy"))
     return rounded(anomaly.handle_outliers(rows, ["energy", "value"], target="value"))
+
+
+def _dirty(spark, folder):
+    """Transactions with text amounts, padded labels, gaps, zero rows, repeats and odd times."""
+    k = F.col("id")
+    rows = views.readings(spark, folder).select(
+        "id",
+        "key",
+        F.when(k % 97 == 0, F.col("ts") + F.expr("INTERVAL 10 YEARS")).otherwise(F.col("ts")).alias("ts"),
+        F.col("value").alias("amount"),
+        F.when(k % 2 == 0, " CREDIT ").otherwise("Debit").alias("Transaction Type"),
+        F.when(k % 7 != 0, F.upper("kind")).alias("Category"),
+        F.lit(None).cast("double").alias("Empty"),
+    )
+    return rows.unionByName(rows.filter(k % 10 == 3))
+
+
+_DIRTY_SQL = f"""
+d AS (SELECT id, key, CASE WHEN id % 97 = 0 THEN ts + INTERVAL 10 YEAR ELSE ts END AS ts, value AS amount,
+  CASE WHEN id % 2 = 0 THEN ' CREDIT ' ELSE 'Debit' END AS transaction_type, CASE WHEN id % 7 = 0 THEN NULL ELSE upper(kind) END AS category FROM readings),
+c AS (SELECT category FROM d WHERE category IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 1),
+f AS (SELECT d.id, d.key, d.ts, d.transaction_type, coalesce(d.category, c.category) AS category, coalesce(
+  last_value(amount IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(amount IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS amount FROM d, c),
+{votes_sql("f", "amount", "v", "id, key, ts, transaction_type, category, amount")},
+lim AS (SELECT quantile_cont(amount, 0.01) AS p1, quantile_cont(amount, 0.99) AS p99 FROM f), hit AS (SELECT max(votes) >= 2 AS hit FROM v),
+o AS (SELECT id, key, ts, lower(trim(transaction_type)) AS transaction_type, lower(trim(category)) AS category,
+  CASE WHEN hit THEN greatest(least(amount, p99), p1) ELSE amount END AS amount FROM v, lim, hit),
+p AS (SELECT quantile_cont(abs(amount), 0.95) AS p95 FROM o),
+q AS (SELECT id, key, ts, transaction_type, category, amount, abs(amount) > p95 AS large, avg(amount) OVER w AS m, stddev_samp(amount) OVER w AS s FROM o, p
+  WINDOW w AS (PARTITION BY key ORDER BY ts, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+cleaned AS (SELECT id, key, ts, transaction_type, category, CASE WHEN transaction_type = 'debit' AND amount > 0 THEN -amount ELSE amount END AS amount,
+  large, m, s FROM q WHERE ts <= TIMESTAMP '{EVENTS_AS_OF}')
+"""
+
+
+def _cleaned(spark, folder):
+    return cleaner.clean_financial_data(
+        _dirty(spark, folder),
+        KEY,
+        ORDER,
+        F.lit(EVENTS_AS_OF).cast("timestamp_ntz"),
+        target="amount",
+        formats={},
+        outlier_columns=["amount"],
+    )
+
+
+@query(
+    "D15 P4 P6 P12 P13",
+    views="readings",
+    sql=f"""
+WITH {_DIRTY_SQL} SELECT id, key, ts, transaction_type, category, round(amount, 6) AS amount, large AS _is_large_transaction,
+  round(m, 6) AS _amount_rolling_mean, round(s, 6) AS _amount_rolling_std FROM cleaned
+""",
+)
+def cleaned_records(spark, folder):
+    rows, _ = _cleaned(spark, folder)
+    return rounded(
+        rows.select(
+            "id", "key", "ts", "transaction_type", "category", "amount", "_is_large_transaction",
+            "_amount_rolling_mean", "_amount_rolling_std",
+        )
+    )
+
+
+@query(
+    "D15 A8 A9",
+    views="readings",
+    sql=f"""
+WITH {_DIRTY_SQL}, n AS (SELECT count(*) + count(*) FILTER (id % 10 = 3) AS before FROM readings)
+SELECT round((count(*) * 14.0::DOUBLE - count(*) FILTER (s IS NULL)) / (14.0::DOUBLE * count(*)), 9) AS completeness,
+  round(count(*) / any_value(before)::DOUBLE, 9) AS validity, 1.0::DOUBLE AS uniqueness,
+  round(greatest(0, 1 - floor((epoch(TIMESTAMP '{EVENTS_AS_OF}') - epoch(max(ts))) / 86400) / 30.0::DOUBLE), 9) AS timeliness FROM cleaned, n
+""",
+)
+def cleaned_quality(spark, folder):
+    _, scores = _cleaned(spark, folder)
+    return rounded(scores.select("completeness", "validity", "uniqueness", "timeliness"), digits=9)
+
+
+@query(
+    "A18",
+    views="readings",
+    sql="""
+WITH n AS (SELECT count(*) + count(*) FILTER (id % 10 = 3) AS rows_in, count(*) AS rows_out FROM readings)
+SELECT rows_in, rows_out, rows_in - rows_out AS rows_removed FROM n
+""",
+)
+def cleaning_counts(spark, folder):
+    dirty = _dirty(spark, folder)
+    return cleaner.cleaning_counts(dirty, cleaning.basic_cleaning(dirty))

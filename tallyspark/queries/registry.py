@@ -29,7 +29,9 @@ def query(covers: str, sql: str | None = None, views: str = ""):
         if sql is not None:
             body = sql.strip()
             parts = [f"{v} AS ({VIEW_SQL[v]})" for v in views.split()]
-            if parts and body[:5].upper() == "WITH ":
+            if parts and body[:15].upper() == "WITH RECURSIVE ":
+                text = "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
+            elif parts and body[:5].upper() == "WITH ":
                 text = "WITH " + ",\n".join(parts) + ",\n" + body[5:]
             elif parts:
                 text = "WITH " + ",\n".join(parts) + "\n" + body

@@ -18,7 +18,7 @@ def _counter_sql(src, key, seconds, out):
 {out} AS (SELECT id, row_number() OVER (PARTITION BY {key}, sess ORDER BY ts, id) AS n FROM {out}_b)"""
 
 
-_RISK_SQL = f"""
+RISK_SQL = f"""
 WITH fl AS (SELECT * FROM logins WHERE NOT success), {_counter_sql("fl", "user_id", 3600, "f")}, {_counter_sql("logins", "ip", 300, "a")},
 ki AS (SELECT user_id, ip, min(ts) AS t FROM logins WHERE success GROUP BY 1, 2), ka AS (SELECT user_id, agent, min(ts) AS t FROM logins WHERE success GROUP BY 1, 2),
 j AS (SELECT l.*, f.n AS failed_count, a.n AS attempt_count, coalesce(ki.t < l.ts, FALSE) AS known_address, coalesce(ka.t < l.ts, FALSE) AS known_agent
@@ -31,7 +31,7 @@ risk AS (SELECT *, CAST(least(100, CASE WHEN failed_count > 5 THEN 50 ELSE 0 END
 @query(
     "R5",
     views="logins",
-    sql=f"{_RISK_SQL} SELECT id, user_id, ip, failed_count, attempt_count, known_address, known_agent, risk FROM risk",
+    sql=f"{RISK_SQL} SELECT id, user_id, ip, failed_count, attempt_count, known_address, known_agent, risk FROM risk",
 )
 def login_risk(spark, folder):
     """The log spans less than the life of the known sets, so the SQL needs no expiry."""
@@ -42,7 +42,7 @@ def login_risk(spark, folder):
 @query(
     "R8",
     views="logins",
-    sql=f"""{_RISK_SQL} SELECT user_id, 'login_attempt' AS action, success, ip AS ip_address, ts AS at, risk AS risk_score,
+    sql=f"""{RISK_SQL} SELECT user_id, 'login_attempt' AS action, success, ip AS ip_address, ts AS at, risk AS risk_score,
  '{{"agent":"' || agent || '","known_address":' || known_address || ',"known_agent":' || known_agent || '}}' AS details FROM risk""",
 )
 def audit_log(spark, folder):
@@ -98,19 +98,71 @@ def concurrent_sessions(spark, folder):
     return security.concurrent_sessions(_sessions(spark, folder))
 
 
-@query("R7")
+def hold_sql(src, key, failures, seconds):
+    """Failure blocks as a recursion over the rows of each key."""
+    live = "(h.until IS NULL OR r.ts >= h.until)"
+    return f"""
+r AS (SELECT id, {key}, ts, success, row_number() OVER (PARTITION BY {key} ORDER BY ts, id) AS i FROM {src}),
+h({key}, i, id, ignored, failures, until) AS (
+  SELECT DISTINCT {key}, 0::BIGINT, NULL::BIGINT, FALSE, 0::BIGINT, NULL::TIMESTAMP FROM r
+  UNION ALL
+  SELECT r.{key}, r.i, r.id, NOT {live},
+    CASE WHEN NOT {live} THEN h.failures WHEN r.success THEN 0 ELSE least(h.failures + 1, {failures}) END,
+    CASE WHEN NOT {live} THEN h.until WHEN r.success THEN NULL WHEN h.failures + 1 >= {failures} THEN r.ts + INTERVAL {seconds} SECOND ELSE NULL END
+  FROM h JOIN r ON r.{key} = h.{key} AND r.i = h.i + 1)
+"""
+
+
+def limit_sql(src, key, requests, burst, seconds):
+    """Renewing counters as a recursion over the rows of each key."""
+    count = "(CASE WHEN h.until IS NOT NULL AND r.ts >= h.until THEN 0 ELSE h.n END)"
+    size = max(requests, burst)
+    return f"""
+r AS (SELECT id, {key}, ts, row_number() OVER (PARTITION BY {key} ORDER BY ts, id) AS i FROM {src}),
+h({key}, i, id, allowed, remaining, n, until) AS (
+  SELECT DISTINCT {key}, 0::BIGINT, NULL::BIGINT, FALSE, 0::BIGINT, 0::BIGINT, NULL::TIMESTAMP FROM r
+  UNION ALL
+  SELECT r.{key}, r.i, r.id, {count} < {size},
+    CASE WHEN {count} < {requests} THEN {requests} - {count} - 1 WHEN {count} < {size} THEN {burst} - {count} - 1 ELSE 0 END,
+    CASE WHEN {count} < {size} THEN {count} + 1 ELSE {count} END,
+    CASE WHEN {count} < {size} THEN r.ts + INTERVAL {seconds} SECOND ELSE h.until END
+  FROM h JOIN r ON r.{key} = h.{key} AND r.i = h.i + 1)
+"""
+
+
+LOCKOUT_SQL = (
+    f"WITH RECURSIVE {hold_sql('logins', 'user_id', 5, 1800)} SELECT id, user_id, ignored, failures, "
+    "coalesce(epoch_us(until), -1) AS blocked_until FROM h WHERE id IS NOT NULL"
+)
+LIMIT_SQL = (
+    f"WITH RECURSIVE l AS (SELECT id, ip AS client, ts FROM logins), {limit_sql('l', 'client', 20, 25, 3600)} "
+    "SELECT id, client, allowed, remaining FROM h WHERE id IS NOT NULL"
+)
+
+
+@query("R7", views="logins", sql=LOCKOUT_SQL)
 def lockouts(spark, folder):
-    return folds.lockouts(views.logins(spark, folder).select("id", "user_id", "ts", "success"))
+    out = folds.lockouts(views.logins(spark, folder).select("id", "user_id", "ts", "success"))
+    return out.drop("ts", "success")
 
 
-@query("R9")
+@query("R9", views="logins", sql=LIMIT_SQL)
 def rate_limits(spark, folder):
     """Each address may make 20 requests, 25 in bursts, per renewing hour."""
     requests = views.logins(spark, folder).select("id", F.col("ip").alias("client"), "ts")
-    return folds.rate_limited(requests, folds.Limit(requests=20, burst=25, seconds=3600))
+    return folds.rate_limited(requests, folds.Limit(requests=20, burst=25, seconds=3600)).drop("ts")
 
 
-@query("R10")
+@query(
+    "R10",
+    sql=f"""
+WITH RECURSIVE calls AS (SELECT event_id AS id, event_type AS endpoint, ts, value >= 60 AS success FROM events), {hold_sql("calls", "endpoint", 5, 60)},
+s AS (SELECT r.endpoint, r.ts, r.id, CASE WHEN h.until IS NULL THEN 'closed' ELSE 'open' END AS state FROM h JOIN r ON h.id = r.id),
+b AS (SELECT *, CASE WHEN lag(state) OVER w IS DISTINCT FROM state THEN 1 ELSE 0 END AS e FROM s WINDOW w AS (PARTITION BY endpoint ORDER BY ts, id)),
+k AS (SELECT *, sum(e) OVER (PARTITION BY endpoint ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS interval_no FROM b)
+SELECT endpoint, CAST(interval_no AS BIGINT) AS "interval", any_value(state) AS state, min(ts) AS started_at, max(ts) AS last_call, count(*) AS calls FROM k GROUP BY 1, 2
+""",
+)
 def endpoint_health(spark, folder):
     calls = table(spark, folder, "events").select(
         F.col("event_id").alias("id"),

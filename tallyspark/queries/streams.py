@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import folds, security
 from tallyspark.plans.lineage import fresh_dir
 from tallyspark.queries.registry import query
+from tallyspark.queries.security import LIMIT_SQL, LOCKOUT_SQL, RISK_SQL
 from tallyspark.sources import views
 from tallyspark.sources.payloads import message_id
 from tallyspark.sources.tables import table
@@ -189,14 +190,14 @@ def _logins(spark, folder):
     )
 
 
-@query("R7 R10")
+@query("R7 R10", views="logins", sql=LOCKOUT_SQL)
 def streamed_lockouts(spark, folder):
     state.use_rocksdb(spark)
     stream = state.run_machine(_logins(spark, folder).select("user_id", "id", "ts", "success"), folds.LOCKOUT, "user_id")
     return _finished(spark, stream, "lockouts")
 
 
-@query("R9")
+@query("R9", views="logins", sql=LIMIT_SQL)
 def streamed_rate_limits(spark, folder):
     state.use_rocksdb(spark)
     requests = _logins(spark, folder).select(F.col("ip").alias("client"), "id", "ts")
@@ -204,7 +205,15 @@ def streamed_rate_limits(spark, folder):
     return _finished(spark, stream, "limits")
 
 
-@query("R2 X3")
+@query(
+    "R2 X3",
+    sql="""
+WITH r AS (SELECT * FROM (SELECT user_id, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn <= 100),
+s AS (SELECT user_id, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM r GROUP BY 1)
+SELECT r.user_id, max(ts) AS ts, count(*) AS total_points, count(*) FILTER (n >= 4 AND (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))) AS anomaly_count
+FROM r JOIN s ON r.user_id = s.user_id GROUP BY 1
+""",
+)
 def streamed_monitor(spark, folder):
     state.use_rocksdb(spark)
     rows = _events(spark, folder).select("user_id", "ts", "value")
@@ -225,7 +234,31 @@ def streamed_attempt_counts(spark, folder):
     return _finished(spark, state.attempt_counts(_logins(spark, folder)), "attempts")
 
 
-@query("R5")
+@query(
+    "X6 R4 X4 R1",
+    sql="""
+SELECT event_id, user_id, value, 'log' AS sink FROM events WHERE user_id = 7 UNION ALL SELECT event_id, user_id, value, 'alert' FROM events WHERE user_id = 7 AND value > 100
+""",
+)
+def streamed_wallet_activity(spark, folder):
+    """Events of one wallet, handed to two callbacks."""
+
+    def work(path):
+        def log(batch, batch_id):
+            ingest.write_once(f"{path}/log")(batch.withColumn("sink", F.lit("log")), batch_id)
+
+        def alert(batch, batch_id):
+            large = batch.filter("value > 100").withColumn("sink", F.lit("alert"))
+            ingest.write_once(f"{path}/alert")(large, batch_id)
+
+        return ingest.fan_out(log, alert)
+
+    stream = _events(spark, folder).filter("user_id = 7").select("event_id", "user_id", "value")
+    path = _batches(spark, stream, work, "wallet")
+    return spark.read.parquet(f"{path}/log/batch=*", f"{path}/alert/batch=*")
+
+
+@query("R5", views="logins", sql=f"{RISK_SQL} SELECT id, user_id, risk FROM risk")
 def streamed_login_risk(spark, folder):
     """Two streams in a row: attempt counts per address, then risk per user."""
     state.use_rocksdb(spark)
