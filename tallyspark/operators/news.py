@@ -42,7 +42,7 @@ def sentiment(articles: DataFrame, content: str = "content") -> DataFrame:
 
 def sentiment_by_lexicon(articles: DataFrame, lexicon: DataFrame, id_col: str = "id") -> DataFrame:
     """The same score from a lexicon table (word, polarity) of any size, by a join."""
-    tokens = articles.select(id_col, F.explode(F.split(F.lower("content"), r"(?U)\W+")).alias("word"))
+    tokens = articles.select(id_col, F.explode_outer(F.split(F.lower("content"), r"(?U)\W+")).alias("word"))
     counts = tokens.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_n"))
     matched = counts.join(lexicon, "word")
     scored = matched.groupBy(id_col).agg(
@@ -100,7 +100,7 @@ def in_categories(articles: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def for_symbols(articles: DataFrame, tracked: DataFrame, id_col: str = "id") -> DataFrame:
     """(article, symbol) rows for symbols on a watch list."""
-    mentions = articles.select(id_col, F.explode("symbols").alias("symbol"))
+    mentions = articles.select(id_col, F.explode_outer("symbols").alias("symbol")).filter(F.col("symbol").isNotNull())
     return KeyedRows(mentions, ["symbol"]).attach(tracked.select("symbol").distinct().withColumn("_t", F.lit(1))).filter(
         F.col("_t").isNotNull()
     ).drop("_t")

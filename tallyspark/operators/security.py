@@ -75,9 +75,11 @@ def known_lives(successes: KeyedRows, user: str, item: str, life: int = KNOWN_LI
         starts = cut(starts)
 
 
-def known_before(df: DataFrame, user: str, item: str, ok: Column, name: str, life: int = KNOWN_LIFE) -> DataFrame:
+def known_before(
+    rows: KeyedRows, user: str, item: str, ok: Column, name: str, life: int = KNOWN_LIFE
+) -> DataFrame:
     """Whether the user succeeded with the item earlier in the set's current life."""
-    rows = KeyedRows(df, [user])
+    df = rows.df
     lives = known_lives(rows.on(df.filter(ok)), user, item, life)
     # A life lasts at least ``life``, so the list per user is bounded by the calendar.
     packed = lives.groupBy(user).agg(F.collect_list(F.struct("start", "end")).alias("_lives"))
@@ -97,9 +99,10 @@ def login_risk(logins: DataFrame) -> DataFrame:
         logins.filter(~F.col("success")), ["user_id"], ["ts", "id"], FAILED_LIFE, "failed_count"
     ).select("id", "failed_count")
     attempts = live_counter(logins, ["ip"], ["ts", "id"], ATTEMPT_LIFE, "attempt_count")
-    both = attempts.join(failed, "id", "left")
-    both = known_before(both, "user_id", "ip", F.col("success"), "known_address")
-    both = known_before(both, "user_id", "agent", F.col("success"), "known_agent")
+    # Read six more times below.
+    rows = KeyedRows(cut(attempts.join(failed, "id", "left")), ["user_id"])
+    both = known_before(rows, "user_id", "ip", F.col("success"), "known_address")
+    both = known_before(rows.on(both), "user_id", "agent", F.col("success"), "known_agent")
     points = (
         F.when(F.col("failed_count") > FAILED_LIMIT, FAILED_POINTS).otherwise(0)
         + F.when(F.col("known_address"), 0).otherwise(ADDRESS_POINTS)

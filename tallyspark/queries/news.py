@@ -59,8 +59,8 @@ SELECT id, CAST(number AS INTEGER) AS number, trim(point, ' ' || chr(10) || chr(
 """,
 )
 def key_points(spark, folder):
-    points = views.articles(spark, folder).select("id", F.explode(text.key_points(F.col("content"))).alias("p"))
-    return points.select("id", "p.number", "p.point")
+    points = views.articles(spark, folder).select("id", F.explode_outer(text.key_points(F.col("content"))).alias("p"))
+    return points.filter(F.col("p").isNotNull()).select("id", "p.number", "p.point")
 
 
 @query("F5", sql=r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
@@ -85,7 +85,8 @@ sym AS (SELECT DISTINCT id, symbol FROM x WHERE symbol NOT IN ({", ".join(_lit(w
 def article_symbols(spark, folder):
     kept = news.with_content(views.articles(spark, folder))
     both = F.concat(F.col("title"), F.lit(" "), F.col("content"))
-    return kept.select("id", F.explode(text.symbols(both)).alias("symbol"))
+    found = kept.select("id", F.explode_outer(text.symbols(both)).alias("symbol"))
+    return found.filter(F.col("symbol").isNotNull())
 
 
 @query(

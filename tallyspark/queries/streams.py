@@ -106,6 +106,32 @@ def message_ids(spark, folder):
     return table(spark, folder, "events").select("event_id", message_id(F.col("props")).alias("message_id"))
 
 
+_SECRET = b"shared secret of the tests"
+
+
+def _blob(mask):
+    return "".join(f"\\x{b ^ mask:02X}" for b in _SECRET.ljust(64, b"\0"))
+
+
+@query(
+    "S28",
+    sql=f"""
+SELECT event_id, props, sha256('{_blob(0x5C)}'::BLOB || unhex(sha256('{_blob(0x36)}'::BLOB || encode(props)))) AS signature, event_id % 10 > 1 AS accepted FROM events
+""",
+)
+def signed_messages(spark, folder):
+    """A tenth of the signatures is wrong and a tenth missing; those rows are quarantined."""
+    rows = table(spark, folder, "events").select(
+        "event_id", "props", ingest.signature(F.col("props"), _SECRET).alias("signature")
+    )
+    given = F.when(F.col("event_id") % 10 == 0, F.lit("sha256=00")).when(
+        F.col("event_id") % 10 != 1, F.concat(F.lit("sha256="), "signature")
+    )
+    good, bad = ingest.split_signed(rows.withColumn("given", given), "props", "given", _SECRET)
+    both = good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False)))
+    return both.drop("given")
+
+
 def _batches(spark, stream, work, name):
     path = fresh_dir(spark, name)
     ingest.start_batches(stream, work(f"{path}/data"), f"{path}/log", every=None).awaitTermination()

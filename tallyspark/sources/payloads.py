@@ -19,7 +19,8 @@ def series_bars(df: DataFrame, payload: str = "payload") -> DataFrame:
     keep = [c for c in df.columns if c != payload]
     parsed = F.from_json(F.col(payload), "map<string, map<string, map<string, string>>>")
     days = F.coalesce(*[F.element_at(parsed, n) for n in SERIES_NAMES])
-    rows = df.select(*keep, F.explode(days).alias("_day", "_fields"))
+    # Outer generators throughout: Spark would otherwise parse twice to test for empty lists.
+    rows = df.select(*keep, F.explode_outer(days).alias("_day", "_fields")).filter(F.col("_day").isNotNull())
     values = F.transform(F.array_sort(F.map_entries("_fields")), lambda e: e["value"])
     typed = [F.get(values, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(SERIES_FIELDS)]
     return rows.select(*keep, F.col("_day").try_cast("timestamp_ntz").alias("ts"), *typed)
@@ -52,7 +53,7 @@ def coin_history(df: DataFrame, payload: str = "payload") -> DataFrame:
     keep = [c for c in df.columns if c != payload]
     shape = f"data struct<quotes: array<struct<timestamp: string, quote: map<string, {_COIN_BAR}>>>>"
     quotes = F.from_json(F.col(payload), shape)["data"]["quotes"]
-    rows = df.select(*keep, F.inline(quotes))
+    rows = df.select(*keep, F.inline_outer(quotes))
     usd = F.element_at("quote", "USD")
     return (
         rows.withColumn("_usd", usd)
@@ -70,7 +71,7 @@ _LISTING_QUOTE = (
 def coin_listing(df: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per listed coin with its USD quote."""
     shape = f"data array<struct<symbol: string, name: string, cmc_rank: long, quote: map<string, {_LISTING_QUOTE}>>>"
-    rows = df.select(F.inline(F.from_json(F.col(payload), shape)["data"]))
+    rows = df.select(F.inline_outer(F.from_json(F.col(payload), shape)["data"])).filter(F.col("quote").isNotNull())
     return rows.select(
         "symbol", "name", F.col("cmc_rank").alias("rank"), F.element_at("quote", "USD").alias("_usd")
     ).select("symbol", "name", "rank", "_usd.*")
@@ -84,7 +85,8 @@ def coin_map(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Catalogue rows with their position, for lookups by symbol or name."""
     shape = "data array<struct<id: long, symbol: string, name: string>>"
     entries = F.from_json(F.col(payload), shape)["data"]
-    return df.select(F.posexplode(entries).alias("position", "_c")).select(
+    rows = df.select(F.posexplode_outer(entries).alias("position", "_c")).filter(F.col("_c").isNotNull())
+    return rows.select(
         "position", F.col("_c.id").alias("coin_id"), "_c.symbol", "_c.name"
     )
 
@@ -132,7 +134,8 @@ def collectibles(df: DataFrame, payload: str = "payload") -> DataFrame:
         "asset_contract: struct<address: string>, collection: struct<name: string>, "
         "traits: array<struct<trait_type: string, value: string>>, last_sale: struct<total_price: string>>"
     )
-    rows = df.select(*keep, F.inline(F.from_json(F.col(payload), f"assets array<{asset}>")["assets"]))
+    listed = F.from_json(F.col(payload), f"assets array<{asset}>")["assets"]
+    rows = df.select(*keep, F.inline_outer(listed)).filter(F.col("token_id").isNotNull())
     # Later traits of the same kind win, so the map is built from the last of each kind.
     kinds = F.array_distinct(F.transform("traits", lambda t: t["trait_type"]))
     pairs = F.transform(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.sources.tables import table
+from tallyspark.sources.tables import spread, table
 
 EVENTS_AS_OF = "2024-02-01 00:00:00"
 ORDERS_AS_OF = "2001-08-02 00:00:00"
@@ -189,9 +189,8 @@ FROM documents JOIN orders ON doc_id = o_orderkey
 def expenses(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("doc_id")
     amount = (F.col("o_totalprice") / 1000).cast("string")
-    joined = table(spark, folder, "documents").join(
-        table(spark, folder, "orders"), key == F.col("o_orderkey")
-    )
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    joined = docs.join(table(spark, folder, "orders"), key == F.col("o_orderkey"))
     return joined.select(
         key.alias("id"),
         F.when(key % 17 == 0, "n/a")
@@ -214,7 +213,7 @@ FROM documents
 """)
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     back = F.make_dt_interval(mins=(F.col("doc_id") * 3).cast("int"))
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source")).select(
         F.col("doc_id").alias("id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("content"),
