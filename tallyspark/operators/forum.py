@@ -20,7 +20,12 @@ def with_user_names(rows: DataFrame, users: DataFrame) -> DataFrame:
 def with_parents(posts: DataFrame) -> DataFrame:
     """Each post with the author of the post it replies to."""
     parents = posts.select(F.col("post_id").alias("parent_post_id"), F.col("user_id").alias("parent_user_id"))
-    return posts.join(parents, "parent_post_id", "left")
+    # First posts have no parent; they skip the join, where their null keys would meet in one task.
+    first = posts.filter(F.col("parent_post_id").isNull()).withColumn("parent_user_id", F.lit(None).cast(
+        dict(posts.dtypes)["user_id"]
+    ))
+    replies = posts.filter(F.col("parent_post_id").isNotNull()).join(parents, "parent_post_id", "left")
+    return replies.unionByName(first)
 
 
 def nested_posts(posts: DataFrame, size: int | None = None) -> DataFrame:

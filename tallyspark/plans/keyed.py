@@ -215,13 +215,6 @@ class KeyedRows:
         spread = placed.withColumn("_copy", F.explode(copies)).select(*self.df.columns, "_copy._block", "_copy._halo")
         return self.cold_rows().select("*", *plain).unionByName(spread)
 
-    def position(self, before: int) -> Column:
-        """1-based row position inside the key, for a frame over ``blocks(before)``."""
-        size = max(self.limit, before)
-        w = Window.partitionBy(*self.keys, "_block").orderBy(*self.order)
-        skipped = F.when(F.col("_block") > 0, F.col("_block") * size - before).otherwise(0)
-        return F.row_number().over(w) + skipped
-
     def rolling(self, before: int, after: int, build: Callable[[Window], dict[str, Column]]) -> DataFrame:
         """Adds ``build(window)`` columns whose frames stay within the given reach."""
         w = Window.partitionBy(*self.keys, "_block").orderBy(*self.order)

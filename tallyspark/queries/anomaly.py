@@ -49,7 +49,7 @@ def modified_z_outliers(spark, folder):
 @query(
     "D2",
     views="readings",
-    sql=f"""WITH {_KEYED_SQL} SELECT DISTINCT key, round(coalesce(lim, 3), 6) AS z_limit FROM f""",
+    sql=f"""WITH {_KEYED_SQL} SELECT DISTINCT key, round(CAST(coalesce(lim, 3) AS DOUBLE), 6) AS z_limit FROM f""",
 )
 def adaptive_limits(spark, folder):
     stats = _values(spark, folder).groupBy("key").agg(

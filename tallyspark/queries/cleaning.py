@@ -452,17 +452,16 @@ def _cleaned(spark, folder):
     views="readings",
     sql=f"""
 WITH {_DIRTY_SQL} SELECT id, key, ts, transaction_type, category, round(amount, 6) AS amount, large AS _is_large_transaction,
-  round(m, 6) AS _amount_rolling_mean, round(s, 6) AS _amount_rolling_std FROM cleaned
+  round(m, 9) AS _amount_rolling_mean, round(s, 6) AS _amount_rolling_std FROM cleaned
 """,
 )
 def cleaned_records(spark, folder):
     rows, _ = _cleaned(spark, folder)
-    return rounded(
-        rows.select(
-            "id", "key", "ts", "transaction_type", "category", "amount", "_is_large_transaction",
-            "_amount_rolling_mean", "_amount_rolling_std",
-        )
+    shown = rows.select(
+        "id", "key", "ts", "transaction_type", "category", "amount", "_is_large_transaction",
+        F.round("_amount_rolling_mean", 9).alias("_amount_rolling_mean"), "_amount_rolling_std",
     )
+    return rounded(shown, "_amount_rolling_mean")
 
 
 @query(

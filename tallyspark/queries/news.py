@@ -155,24 +155,24 @@ sent AS (SELECT a.id, a.published_at, coalesce(s, 0) AS s FROM articles a LEFT J
     "F10 P29",
     views="articles",
     sql=f"""
-WITH {_SENTIMENT_SQL} SELECT id, round(s, 6) AS sentiment_score, CASE WHEN s > 0.1 THEN 'Positive' WHEN s < -0.1 THEN 'Negative' ELSE 'Neutral' END AS label FROM sent
+WITH {_SENTIMENT_SQL} SELECT id, round(s, 9) AS sentiment_score, CASE WHEN s > 0.1 THEN 'Positive' WHEN s < -0.1 THEN 'Negative' ELSE 'Neutral' END AS label FROM sent
 """,
 )
 def article_sentiment(spark, folder):
     scored = news.sentiment(views.articles(spark, folder))
     return scored.select(
         "id",
-        F.round("sentiment_score", 6).alias("sentiment_score"),
+        F.round("sentiment_score", 9).alias("sentiment_score"),
         text.sentiment_label(F.col("sentiment_score")).alias("label"),
     )
 
 
-@query("F10", views="articles", sql=f"WITH {_SENTIMENT_SQL} SELECT id, round(s, 6) AS sentiment_score FROM sent")
+@query("F10", views="articles", sql=f"WITH {_SENTIMENT_SQL} SELECT id, round(s, 9) AS sentiment_score FROM sent")
 def article_sentiment_joined(spark, folder):
     """Lexicon as a table: each label word of the documents scored through a join."""
     lexicon = spark.createDataFrame(list(words.POLARITY.items()), "word string, polarity double")
     scored = news.sentiment_by_lexicon(views.articles(spark, folder), lexicon)
-    return rounded(scored.select("id", "sentiment_score"))
+    return rounded(scored.select("id", "sentiment_score"), digits=9)
 
 
 @query(
@@ -190,11 +190,11 @@ def sentiment_distribution(spark, folder):
     "A13",
     views="articles",
     sql=f"""
-WITH {_SENTIMENT_SQL} SELECT CAST(date_trunc('day', published_at) AS TIMESTAMP) AS at, round(avg(s), 6) AS sentiment, count(*) AS articles FROM sent GROUP BY 1
+WITH {_SENTIMENT_SQL} SELECT CAST(date_trunc('day', published_at) AS TIMESTAMP) AS at, round(avg(s), 9) AS sentiment, count(*) AS articles FROM sent GROUP BY 1
 """,
 )
 def sentiment_over_time(spark, folder):
-    return rounded(news.sentiment_over_time(news.sentiment(views.articles(spark, folder))))
+    return rounded(news.sentiment_over_time(news.sentiment(views.articles(spark, folder))), digits=9)
 
 
 _RANK_SQL = "relevance * 0.7 + (1 - least(1, hours / 24)) * 0.3"

@@ -56,11 +56,11 @@ def audit_log(spark, folder):
 WITH g AS (SELECT id, user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 7 DAY THEN 1 ELSE 0 END AS s FROM logins WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
 h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS sess, CAST(hour(ts) AS INTEGER) AS hour FROM g),
 m AS (SELECT *, avg(hour) OVER (PARTITION BY user_id, sess ORDER BY ts, id ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS mean_hour FROM h)
-SELECT id, user_id, ts, hour, round(mean_hour, 6) AS mean_hour, abs(hour - mean_hour) > 6 AS unusual FROM m
+SELECT id, user_id, ts, hour, round(mean_hour, 9) AS mean_hour, abs(hour - mean_hour) > 6 AS unusual FROM m
 """,
 )
 def unusual_hours(spark, folder):
-    return rounded(security.unusual_hours(views.logins(spark, folder).select("id", "user_id", "ts")))
+    return rounded(security.unusual_hours(views.logins(spark, folder).select("id", "user_id", "ts")), digits=9)
 
 
 @query(

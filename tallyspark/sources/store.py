@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyspark import schemas
 from tallyspark.ml.jobs import folder_size
-from tallyspark.plans.keyed import all_of
 
 # Write mode behind each name.
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
@@ -109,7 +108,3 @@ def required_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
-
-
-def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.filter(all_of([F.col(c).isNotNull() for c in columns]))

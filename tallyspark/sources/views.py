@@ -351,13 +351,3 @@ def holdings(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_retailprice").alias("current_price"),
         F.col("l_shipdate").alias("purchase_date"),
     )
-
-
-@view("""
-SELECT d.doc_id AS id, d.text, l.quality AS label, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id
-""")
-def text_labels(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return docs.join(table(spark, folder, "labels"), "doc_id").select(
-        F.col("doc_id").alias("id"), "text", F.col("quality").alias("label"), "toxic"
-    )
