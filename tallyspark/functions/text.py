@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,20 +55,29 @@ def symbols(text: Column) -> Column:
     return F.array_sort(F.array_except(found, F.array(*[F.lit(w) for w in words.NOT_SYMBOLS])))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Applies ``use`` to a value that is computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def category(text: Column) -> Column:
     """First category, in order, with one of its keywords in the text."""
-    low = F.lower(text)
-    out = None
-    for name, keys in words.CATEGORY_KEYWORDS.items():
-        hit = any_of([low.contains(k) for k in keys])
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out.otherwise(words.DEFAULT_CATEGORY)
+
+    def choose(low: Column) -> Column:
+        out = None
+        for name, keys in words.CATEGORY_KEYWORDS.items():
+            hit = any_of([low.contains(k) for k in keys])
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise(words.DEFAULT_CATEGORY)
+
+    return _once(F.lower(text), choose)
 
 
 def hits(text: Column, keys: Sequence[str]) -> Column:
     """How many of the keywords occur in the text."""
-    low = F.lower(text)
-    return sum((low.contains(k.lower()).cast("int") for k in keys), F.lit(0))
+    return _once(
+        F.lower(text), lambda low: sum((low.contains(k.lower()).cast("int") for k in keys), F.lit(0))
+    )
 
 
 def relevance(text: Column, hours_old: Column, interests: Sequence[str] = ()) -> Column:

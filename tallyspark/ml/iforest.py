@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.exprs import uniform
 from tallyspark.operators.anomaly import density_noise, robust_scaled
 from tallyspark.plans.keyed import table_quantiles, with_scalars
+from tallyspark.sources.tables import spread
 
 # Forest size, rows per tree, share of anomalies, least rows to fit.
 TREES, TREE_ROWS, CONTAMINATION, LEAST_ROWS = 100, 256, 0.1, 50
@@ -104,7 +105,7 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: Sequence[str], name:
             yield batch.assign(**{name: 2 ** (-(total / len(forest)) / expected)})
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {name} double"
-    return df.mapInPandas(score, schema)
+    return spread(df).mapInPandas(score, schema)
 
 
 def isolation_flags(df: DataFrame, features: Sequence[str], key: str, name: str = "isolated") -> DataFrame:

@@ -34,6 +34,8 @@ HOT_ROWS_DEFAULT = 1_000_000
 # Pieces per ``limit`` rows; spare pieces absorb an uneven spread over time.
 OVERSPLIT = 4
 SKETCH_ACCURACY = 20_000
+# A whole-table quantile is one group: beyond this many rows it is ranked in parallel.
+ONE_MAP_ROWS = 100_000
 
 
 def hot_row_limit(df: DataFrame) -> int:
@@ -236,13 +238,23 @@ class KeyedRows:
 
     def quantiles(self, wanted: dict[str, tuple[str, float]]) -> DataFrame:
         """Exact linear-interpolated quantiles, ``{output: (column, probability)}``."""
-        exact = [F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()]
         if self.hot is None:
-            return self.df.groupBy(*self.keys).agg(*exact)
-        cold = self.cold_rows().groupBy(*self.keys).agg(*exact)
+            return _small_quantiles(self.df, self.keys, wanted)
+        cold = _small_quantiles(self.cold_rows(), self.keys, wanted)
         return cold.unionByName(_ranked_quantiles(self.hot_rows(), self.keys, wanted, self.limit))
 
 
+def _small_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Quantiles of small groups: one value map per group and column, shared by its ranks."""
+    ranks: dict[str, list[float]] = {}
+    for c, p in wanted.values():
+        ranks.setdefault(c, []).append(p)
+    aggs = [F.percentile(c, F.array(*[F.lit(p) for p in ps])).alias(f"_q_{c}") for c, ps in ranks.items()]
+    found = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    picked = [F.get(f"_q_{c}", F.lit(ranks[c].index(p))).alias(name) for name, (c, p) in wanted.items()]
+    return found.select(*keys, *picked)
+
+
 def _ranked_quantiles(
     df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], least_rows: int
 ) -> DataFrame:
@@ -308,9 +320,9 @@ def table_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], limit:
     """One row of exact quantiles over the whole table."""
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     df = df.select(*columns)
-    limit = limit or hot_row_limit(df)
+    limit = limit or min(hot_row_limit(df), ONE_MAP_ROWS)
     if df.count() <= limit:
-        return df.agg(*[F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()])
+        return _small_quantiles(df, [], wanted)
     return _ranked_quantiles(df, [], wanted, limit)
 
 

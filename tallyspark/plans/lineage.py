@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     session without it is an error, because a machine-local folder would be lost
     with its executor.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()

@@ -8,7 +8,7 @@ from tallyspark.operators import ledger
 from tallyspark.queries.registry import query
 from tallyspark.sources import views
 from tallyspark.sources.tables import table
-from tallyspark.sources.views import EVENTS_AS_OF, ORDERS_AS_OF
+from tallyspark.sources.views import ORDERS_AS_OF
 
 
 def money(*names):

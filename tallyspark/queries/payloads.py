@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.text import parse_time
 from tallyspark.queries.registry import query
 from tallyspark.sources import payloads, views
-from tallyspark.sources.tables import table
+from tallyspark.sources.tables import spread, table
 
 _OHLCV = ["1. open", "2. high", "3. low", "4. close", "5. volume"]
 
@@ -128,7 +128,7 @@ SELECT 'c' || collection AS contract, CAST(token_id AS VARCHAR) AS token_id, CAS
 """,
 )
 def parsed_collectibles(spark, folder):
-    a = views.assets(spark, folder)
+    a = spread(views.assets(spark, folder))
     token = F.col("token_id").cast("string")
     asset = F.struct(
         token.alias("token_id"),

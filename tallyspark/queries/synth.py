@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.queries.registry import query
 from tallyspark.sources import synth
-from tallyspark.sources.tables import table
+from tallyspark.sources.tables import spread, table
 
 AS_OF, DAYS = "2024-01-31", 5
 
@@ -85,7 +85,7 @@ moves AS (SELECT user_id, n AS id, DATE '{AS_OF}' - CAST({_whole(_u("date", *_UN
 
 
 def _set(spark, folder):
-    ids = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
+    ids = spread(table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id")))
     return synth.sample_set(ids, F.lit(AS_OF).cast("date"), DAYS)
 
 
