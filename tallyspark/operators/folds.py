@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from tallyspark.plans.keyed import KeyedRows
 
 FREE = -1  # "block ends at" of a state that is not blocked
+# A piece covers several block lengths: the states after it are then nearly all the
+# same, and its effect table shrinks to a few runs.
+PIECE_SPANS = 8
 
 
 @dataclass(frozen=True)
@@ -123,6 +126,25 @@ class Limit:
         return by_count, fresh
 
 
+def effect_table(machine, t: np.ndarray, ok: np.ndarray) -> dict:
+    """Effects of a stretch as columns; rows with equal effects are kept as one run (its last row).
+
+    A block taken over from earlier rows ends within the machine's span, so only rows
+    up to there, and the one after, are listed.
+    """
+    by_count, by_row = machine.effects(t, ok)
+    listed = min(int(np.searchsorted(t, t[0] + machine.span, side="right")) + 1, len(t))
+    ends = [j for j in range(listed) if j + 1 == listed or by_row[j] != by_row[j + 1]]
+    return {
+        "first_t": int(t[0]),
+        "count_c": [c for c, _ in by_count],
+        "count_u": [u for _, u in by_count],
+        "starts": [int(t[j]) for j in ends],
+        "start_c": [by_row[j][0] for j in ends],
+        "start_u": [by_row[j][1] for j in ends],
+    }
+
+
 def _entry(machine, effect: pd.Series, count: int, until: int) -> tuple[int, int]:
     """State after a piece, from its effect table and the state before it."""
     starts = effect["starts"]
@@ -159,21 +181,22 @@ def fold_by_key(
         return slim.groupBy(*keys).applyInPandas(run, schema)
 
     cold = rows.cold_rows().groupBy(*keys).applyInPandas(run, schema)
-    pieces = rows._with_pieces(rows.hot_rows())
+    length = F.greatest(
+        (F.col("_hk_hi") - F.col("_hk_lo") + 1) / F.ceil(F.col("_hk_n") / F.lit(rows.limit)),
+        F.lit(float(PIECE_SPANS * machine.span)),
+    )
+    placed = rows.df.join(F.broadcast(rows.hot), keys)
+    piece = F.floor((F.col("_t") - F.col("_hk_lo")) / length).cast("int")
+    pieces = placed.withColumn("_piece", piece).drop("_hk_n", "_hk_lo", "_hk_hi")
     key_types = dict(df.dtypes)
     key_schema = ", ".join(f"`{k}` {key_types[k]}" for k in keys)
 
     def tabulate(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([ts, tie])
-        t, good = group["_t"].to_numpy(), group["_ok"].to_numpy(bool)
-        by_count, by_row = machine.effects(t, good)
-        # A block taken over from an earlier piece ends within its span.
-        reach = int(np.searchsorted(t, t[0] + machine.span, side="right"))
-        head = group.iloc[:1][[*keys, "_piece"]].assign(first_t=t[0])
-        head["count_c"], head["count_u"] = [[c for c, _ in by_count]], [[u for _, u in by_count]]
-        head["starts"] = [t[: reach + 1].tolist()]
-        head["start_c"] = [[c for c, _ in by_row[: reach + 1]][: len(t)]]
-        head["start_u"] = [[u for _, u in by_row[: reach + 1]][: len(t)]]
+        effect = effect_table(machine, group["_t"].to_numpy(), group["_ok"].to_numpy(bool))
+        head = group.iloc[:1][[*keys, "_piece"]].copy()
+        for name, value in effect.items():
+            head[name] = [value]
         return head
 
     longs = "array<long>"
@@ -194,7 +217,7 @@ def fold_by_key(
         return out
 
     entries = effects.groupBy(*keys).applyInPandas(chain, f"{key_schema}, _piece int, _count long, _until long")
-    started = pieces.join(F.broadcast(entries), [*keys, "_piece"])
+    started = pieces.join(entries, [*keys, "_piece"])
     hot = started.groupBy(*keys, "_piece").applyInPandas(run, schema)
     return cold.unionByName(hot)
 

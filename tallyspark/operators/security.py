@@ -28,22 +28,25 @@ def _idle_sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], sec
     rows = KeyedRows(df.withColumn("_t", _micros(order[0])), keys, order)
     seen = rows.running({"_prev": ("last", F.col("_t"))}, exclusive=True)
     starts = F.col("_prev").isNull() | (F.col("_t") - F.col("_prev") >= seconds * 1_000_000)
-    numbered = rows.on(seen).running({"_session": ("sum", starts.cast("int")), "_pos": ("count", F.lit(1))})
+    seen = seen.withColumn("_starts", starts)
+    numbered = rows.on(seen).running(
+        {"_session": ("sum", F.col("_starts").cast("int")), "_pos": ("count", F.lit(1))}
+    )
     return rows, numbered.drop("_prev", "_t")
 
 
 def idle_sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: int) -> DataFrame:
     """Adds ``_session``, which grows by one after ``seconds`` without a row, and ``_pos``."""
-    return _idle_sessions(df, keys, order, seconds)[1]
+    return _idle_sessions(df, keys, order, seconds)[1].drop("_starts")
 
 
 def live_counter(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: int, name: str) -> DataFrame:
     """Counter that each row renews and that restarts after ``seconds`` without one."""
     rows, numbered = _idle_sessions(df, keys, order, seconds)
-    numbered = rows.on(numbered)
-    first = numbered.df.groupBy(*keys, "_session").agg(F.min("_pos").alias("_first"))
-    counted = numbered.attach(first, extra=["_session"])
-    return counted.withColumn(name, F.col("_pos") - F.col("_first") + 1).drop("_session", "_pos", "_first")
+    counted = rows.on(numbered).running({"_first": ("last", F.when(F.col("_starts"), F.col("_pos")))})
+    return counted.withColumn(name, F.col("_pos") - F.col("_first") + 1).drop(
+        "_session", "_pos", "_first", "_starts"
+    )
 
 
 def known_lives(successes: KeyedRows, user: str, item: str, life: int = KNOWN_LIFE) -> DataFrame:

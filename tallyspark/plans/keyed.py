@@ -15,8 +15,8 @@ rows:
   ranks only the rows inside it, exactly;
 * ``attach`` joins per-key results back, broadcasting only those of hot keys.
 
-Tables that are broadcast here have at most ``rows / limit`` entries (hot keys) or a
-small multiple of it (their pieces).
+Tables that are broadcast here have at most ``rows / limit`` entries (hot keys), or a
+fixed multiple of it.
 """
 
 from __future__ import annotations
@@ -169,7 +169,8 @@ class KeyedRows:
         carried = totals.withColumns(
             {f"_c_{n}": over[carry_kind.get(k, k)](F.col(f"_c_{n}")).over(earlier) for n, (k, _) in specs.items()}
         )
-        joined = local.join(F.broadcast(carried), [*self.keys, "_piece"], "left")
+        # The rows are already placed by key and piece; only the totals move.
+        joined = local.join(carried, [*self.keys, "_piece"], "left")
 
         def combine(kind: str, here: Column, before: Column) -> Column:
             if kind == "count":
@@ -226,7 +227,7 @@ class KeyedRows:
     # -- per-key results -----------------------------------------------------
 
     def attach(self, stats: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        """Left join of a table with few rows per key (one per ``extra`` value)."""
+        """Left join of a table with one row per key, or a fixed number told apart by ``extra``."""
         on = [*self.keys, *extra]
         if self.hot is None:
             return self.df.join(stats, on, "left")

@@ -65,17 +65,8 @@ def test_effects_equal_folding(machine):
         real = (0, folds.FREE)
         for p in np.unique(piece):
             here = piece == p
-            by_count, by_row = machine.effects(t[here], ok[here])
             tp = t[here]
-            reach = int(np.searchsorted(tp, tp[0] + machine.span, side="right"))
-            effect = {
-                "first_t": tp[0],
-                "count_c": [c for c, _ in by_count],
-                "count_u": [u for _, u in by_count],
-                "starts": tp[: reach + 1],
-                "start_c": [c for c, _ in by_row],
-                "start_u": [u for _, u in by_row],
-            }
+            effect = folds.effect_table(machine, tp, ok[here])
             count, until = folds._entry(machine, effect, count, until)
             real = machine.fold(tp, ok[here], *real)[1]
             probe = np.array([tp[-1], tp[-1] + 3 * SECOND, tp[-1] + 10**10])
