@@ -45,10 +45,10 @@ def boosted_trees(label: str, features: str, rounds: int = 100, depth: int = 6,
     return model.setWeightCol(weight) if weight else model
 
 
-def boosted_trees_many(label: str, features: str, rounds: int = 80, depth: int = 6, seed: int = 42):
+def boosted_trees_many(label: str, features: str, rounds: int = 80, depth: int = 6, seed: int = 42, parallelism: int = 1):
     """Boosting for more than two classes: one booster per class."""
     one = GBTClassifier(featuresCol=features, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
-    return OneVsRest(classifier=one, labelCol=label, featuresCol=features, parallelism=4)
+    return OneVsRest(classifier=one, labelCol=label, featuresCol=features, parallelism=parallelism)
 
 
 def linear_svc(label: str, features: str, rounds: int = 50):
