@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import byte_codec, packing, rule_ledger, token_counts
+from tallyspark.llm import byte_codec, lsh_forest, packing, rule_ledger, token_counts
 from tallyspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op4_token_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.histogram(token_counts.lengths(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+@query
+def op5_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op6_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return rule_ledger.decided(table(spark, folder, "documents"))
