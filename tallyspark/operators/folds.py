@@ -7,7 +7,7 @@ block ends, so the effect of a stretch of events is a small table: the state aft
 it for each count before it, and for each row at which a block may end.
 
 Keys with few events are folded as one group.  The events of a hot key are cut into
-pieces by time; each piece yields its effect table, the tables are chained in order,
+pieces by row position; each piece yields its effect table, the tables are chained in order,
 and every piece is then folded from its own starting state.
 """
 
@@ -18,15 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.plans.keyed import KeyedRows
+from tallyspark.plans.keyed import KeyedRows, null_safe_join
 
 FREE = -1  # "block ends at" of a state that is not blocked
-# A piece covers several block lengths: the states after it are then nearly all the
-# same, and its effect table shrinks to a few runs.
-PIECE_SPANS = 8
 
 
 @dataclass(frozen=True)
@@ -34,7 +31,7 @@ class Hold:
     """Blocks for ``seconds`` at the n-th failure in a row and at each failure after it.
 
     Events while blocked are ignored.  A success clears the count; the end of a block
-    does not.
+    does not.  The effect tables count to n only, which decides the same.
     """
 
     failures: int
@@ -54,7 +51,7 @@ class Hold:
             elif ok[i]:
                 count, until = 0, FREE
             else:
-                count = min(count + 1, self.failures)
+                count += 1
                 until = int(t[i]) + self.span if count >= self.failures else FREE
             counts[i], ends[i] = count, until
         return {"ignored": ignored, "failures": counts, "blocked_until": ends}, (count, until)
@@ -148,6 +145,8 @@ def effect_table(machine, t: np.ndarray, ok: np.ndarray) -> dict:
 def _entry(machine, effect: pd.Series, count: int, until: int) -> tuple[int, int]:
     """State after a piece, from its effect table and the state before it."""
     starts = effect["starts"]
+    if isinstance(machine, Hold):
+        count = min(count, machine.failures)
     blocked = isinstance(machine, Hold) or count >= machine.size
     if until == FREE or (not blocked and effect["first_t"] < until):
         return effect["count_c"][count], effect["count_u"][count]
@@ -181,13 +180,7 @@ def fold_by_key(
         return slim.groupBy(*keys).applyInPandas(run, schema)
 
     cold = rows.cold_rows().groupBy(*keys).applyInPandas(run, schema)
-    length = F.greatest(
-        (F.col("_hk_hi") - F.col("_hk_lo") + 1) / F.ceil(F.col("_hk_n") / F.lit(rows.limit)),
-        F.lit(float(PIECE_SPANS * machine.span)),
-    )
-    placed = rows.df.join(F.broadcast(rows.hot), keys)
-    piece = F.floor((F.col("_t") - F.col("_hk_lo")) / length).cast("int")
-    pieces = placed.withColumn("_piece", piece).drop("_hk_n", "_hk_lo", "_hk_hi")
+    pieces = rows.pieces()
     key_types = dict(df.dtypes)
     key_schema = ", ".join(f"`{k}` {key_types[k]}" for k in keys)
 
@@ -217,11 +210,20 @@ def fold_by_key(
         return out
 
     entries = effects.groupBy(*keys).applyInPandas(chain, f"{key_schema}, _piece int, _count long, _until long")
-    started = pieces.join(entries, [*keys, "_piece"])
+    started = null_safe_join(pieces, entries, [*keys, "_piece"], "inner")
     hot = started.groupBy(*keys, "_piece").applyInPandas(run, schema)
+    if isinstance(machine, Hold):
+        hot = _true_failures(rows.on(hot), F.col(ok)).select(*cold.columns)
     return cold.unionByName(hot)
 
 
+def _true_failures(rows: KeyedRows, ok: Column) -> DataFrame:
+    """Counts the failures since the last success again; pieces start from counts up to the limit only."""
+    counted = rows.running({"_f": ("sum", F.when(~F.col("ignored") & ~ok, 1).otherwise(0))})
+    cleared = rows.on(counted).running({"_s": ("last", F.when(~F.col("ignored") & ok, F.col("_f")))})
+    return cleared.withColumn("failures", F.col("_f") - F.coalesce("_s", F.lit(0))).drop("_f", "_s")
+
+
 # Login lockout, endpoint health.
 LOCKOUT = Hold(failures=5, seconds=1800)
 BREAKER = Hold(failures=5, seconds=60)

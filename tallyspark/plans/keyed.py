@@ -7,14 +7,18 @@ aggregation, a few bytes per key).  If no key exceeds ``limit`` rows it emits th
 plain window.  Otherwise only the hot keys are cut into pieces of about ``limit``
 rows:
 
-* ``running`` cuts by the order column, computes each piece on its own and adds the
-  totals of the earlier pieces (one row per piece);
+* ``running`` cuts by row position in the order (range partitions of keys, order and
+  a tie breaker, so neither an early outlier nor equal order values make a large
+  piece), computes each piece on its own and adds the totals of the earlier pieces
+  (one row per piece);
 * ``rolling`` cuts by row position and copies the few rows a frame reaches over the
   cut, so every frame is complete;
 * ``quantiles`` narrows each wanted rank to a thin value range with a sketch and
   ranks only the rows inside it, exactly;
 * ``attach`` joins per-key results back, broadcasting only those of hot keys.
 
+A null key is a key like any other.
+
 Tables that are broadcast here have at most ``rows / limit`` entries (hot keys), or a
 fixed multiple of it.
 """
@@ -31,7 +35,7 @@ from tallyspark.plans.lineage import cut
 
 HOT_ROWS_SETTING = "spark.tally.hotKeyRows"
 HOT_ROWS_DEFAULT = 1_000_000
-# Pieces per ``limit`` rows; spare pieces absorb an uneven spread over time.
+# Pieces per ``limit`` rows; spare pieces absorb the error of sampled range borders.
 OVERSPLIT = 4
 SKETCH_ACCURACY = 20_000
 # A whole-table quantile is one group: beyond this many rows it is ranked in parallel.
@@ -64,17 +68,7 @@ class KeyedRows:
         self.keys = list(keys)
         self.order = list(order)
         self.limit = limit or hot_row_limit(df)
-        counts = df.groupBy(*self.keys).agg(
-            F.count(F.lit(1)).alias("_hk_n"),
-            *(
-                [
-                    F.min(as_number(df, self.order[0])).alias("_hk_lo"),
-                    F.max(as_number(df, self.order[0])).alias("_hk_hi"),
-                ]
-                if self.order
-                else []
-            ),
-        )
+        counts = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("_hk_n"))
         hot = counts.filter(F.col("_hk_n") > self.limit)
         self.hot = None if hot.isEmpty() else cut(hot)
 
@@ -84,10 +78,7 @@ class KeyedRows:
         With hot keys the rows are read several times, so derived rows are checkpointed
         first; without them the plan stays one pass.
         """
-        same = KeyedRows.__new__(KeyedRows)
-        same.keys, same.order, same.limit, same.hot = self.keys, self.order, self.limit, self.hot
-        same.df = df if self.hot is None else cut(df)
-        return same
+        return self._like(df if self.hot is None else cut(df))
 
     # -- splitting -----------------------------------------------------------
 
@@ -95,21 +86,21 @@ class KeyedRows:
         return F.broadcast(self.hot.select(*self.keys))
 
     def cold_rows(self) -> DataFrame:
-        return self.df if self.hot is None else self.df.join(self._hot_keys(), self.keys, "left_anti")
+        return self.df if self.hot is None else null_safe_join(self.df, self._hot_keys(), self.keys, "left_anti")
 
     def hot_rows(self) -> DataFrame:
-        return self.df.join(self._hot_keys(), self.keys, "left_semi")
-
-    def _with_pieces(self, df: DataFrame) -> DataFrame:
-        """Adds ``_piece``: 0 for cold keys, 1.. along the order axis for hot ones."""
-        pieces = F.ceil(F.col("_hk_n") * OVERSPLIT / F.lit(self.limit))
-        share = F.try_divide(as_number(df, self.order[0]) - F.col("_hk_lo"), F.col("_hk_hi") - F.col("_hk_lo"))
-        piece = 1 + F.least(F.floor(F.coalesce(share, F.lit(0.0)) * pieces), pieces - 1)
-        return (
-            df.join(F.broadcast(self.hot), self.keys, "left")
-            .withColumn("_piece", F.coalesce(piece.cast("int"), F.lit(0)))
-            .drop("_hk_n", "_hk_lo", "_hk_hi")
-        )
+        return null_safe_join(self.df, self._hot_keys(), self.keys, "left_semi")
+
+    def pieces(self) -> DataFrame:
+        """The rows of hot keys with ``_piece``, which rises along the order; about ``limit / OVERSPLIT`` rows each.
+
+        The cut is checkpointed: range borders come from samples, and every reader must see the same ones.
+        """
+        rows = self.hot.agg(F.sum("_hk_n")).first()[0]
+        count = max(1, -(-rows * OVERSPLIT // self.limit))
+        tied = self.hot_rows().withColumn("_tie", F.monotonically_increasing_id())
+        ranged = tied.repartitionByRange(count, *self.keys, *self.order, "_tie")
+        return cut(ranged.withColumn("_piece", F.spark_partition_id()).drop("_tie"))
 
     # -- expanding frames ----------------------------------------------------
 
@@ -136,11 +127,15 @@ class KeyedRows:
         frame_end = -1 if exclusive else Window.currentRow
         names = [f"_in_{n}" for n in specs]
         df = self.df.withColumns({f"_in_{n}": c for n, (_, c) in specs.items()})
-        if self.hot is None:
+
+        def plain(rows: DataFrame) -> DataFrame:
             w = Window.partitionBy(*self.keys).orderBy(*direction).rowsBetween(Window.unboundedPreceding, frame_end)
-            out = df.withColumns({n: over[k](F.col(f"_in_{n}")).over(w) for n, (k, _) in specs.items()})
-            return out.drop(*names)
-        df = self._with_pieces(df)
+            return rows.withColumns({n: over[k](F.col(f"_in_{n}")).over(w) for n, (k, _) in specs.items()}).drop(*names)
+
+        if self.hot is None:
+            return plain(df)
+        cold = plain(self._like(df).cold_rows())
+        df = self._like(df).pieces()
         w = (
             Window.partitionBy(*self.keys, "_piece")
             .orderBy(*direction)
@@ -156,8 +151,7 @@ class KeyedRows:
             return over[kind](c)
 
         totals = (
-            df.filter(F.col("_piece") > 0)
-            .groupBy(*self.keys, "_piece")
+            df.groupBy(*self.keys, "_piece")
             .agg(*[total(k, F.col(f"_in_{n}")).alias(f"_c_{n}") for n, (k, _) in specs.items()])
         )
         earlier = (
@@ -170,7 +164,7 @@ class KeyedRows:
             {f"_c_{n}": over[carry_kind.get(k, k)](F.col(f"_c_{n}")).over(earlier) for n, (k, _) in specs.items()}
         )
         # The rows are already placed by key and piece; only the totals move.
-        joined = local.join(carried, [*self.keys, "_piece"], "left")
+        joined = null_safe_join(local, carried, [*self.keys, "_piece"], "left")
 
         def combine(kind: str, here: Column, before: Column) -> Column:
             if kind == "count":
@@ -187,7 +181,13 @@ class KeyedRows:
             return F.coalesce(here, before)
 
         out = joined.withColumns({n: combine(k, F.col(n), F.col(f"_c_{n}")) for n, (k, _) in specs.items()})
-        return out.drop(*names, "_piece", *[f"_c_{n}" for n in specs])
+        return cold.unionByName(out.drop(*names, "_piece", *[f"_c_{n}" for n in specs]))
+
+    def _like(self, df: DataFrame) -> KeyedRows:
+        """The same keys over rows that only gained columns."""
+        same = KeyedRows.__new__(KeyedRows)
+        same.df, same.keys, same.order, same.limit, same.hot = df, self.keys, self.order, self.limit, self.hot
+        return same
 
     # -- bounded frames ------------------------------------------------------
 
@@ -201,9 +201,7 @@ class KeyedRows:
         if self.hot is None:
             return self.df.select("*", *plain)
         size = max(self.limit, before, after)
-        hot = KeyedRows.__new__(KeyedRows)
-        hot.df, hot.keys, hot.order, hot.limit, hot.hot = self.hot_rows(), self.keys, self.order, self.limit, self.hot
-        placed = hot.running({"_at": ("count", F.lit(1))}).withColumn("_at", F.col("_at") - 1)
+        placed = self._like(self.hot_rows()).running({"_at": ("count", F.lit(1))}).withColumn("_at", F.col("_at") - 1)
         own = F.floor(F.col("_at") / F.lit(size))
         offset = F.col("_at") - own * size
         copies = F.array_compact(
@@ -230,11 +228,11 @@ class KeyedRows:
         """Left join of a table with one row per key, or a fixed number told apart by ``extra``."""
         on = [*self.keys, *extra]
         if self.hot is None:
-            return self.df.join(stats, on, "left")
-        hot_stats = stats.join(self._hot_keys(), self.keys, "left_semi")
-        cold_stats = stats.join(self._hot_keys(), self.keys, "left_anti")
-        cold = self.cold_rows().join(cold_stats, on, "left")
-        hot = self.hot_rows().join(F.broadcast(hot_stats), on, "left")
+            return null_safe_join(self.df, stats, on, "left")
+        hot_stats = null_safe_join(stats, self._hot_keys(), self.keys, "left_semi")
+        cold_stats = null_safe_join(stats, self._hot_keys(), self.keys, "left_anti")
+        cold = null_safe_join(self.cold_rows(), cold_stats, on, "left")
+        hot = null_safe_join(self.hot_rows(), F.broadcast(hot_stats), on, "left")
         return cold.unionByName(hot)
 
     def quantiles(self, wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -327,6 +325,14 @@ def table_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], limit:
     return _ranked_quantiles(df, [], wanted, limit)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which null equals null; the ``on`` columns come first, once."""
+    renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    out = left.join(renamed, all_of([F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]), how)
+    rest = [c for c in out.columns if c not in on and not (c.startswith("_on_") and c[4:] in on)]
+    return out.select(*on, *rest)
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the columns of a one-row aggregate to every row, as one scalar subquery."""
     fields = one_row.columns

@@ -107,7 +107,7 @@ h({key}, i, id, ignored, failures, until) AS (
   SELECT DISTINCT {key}, 0::BIGINT, NULL::BIGINT, FALSE, 0::BIGINT, NULL::TIMESTAMP FROM r
   UNION ALL
   SELECT r.{key}, r.i, r.id, NOT {live},
-    CASE WHEN NOT {live} THEN h.failures WHEN r.success THEN 0 ELSE least(h.failures + 1, {failures}) END,
+    CASE WHEN NOT {live} THEN h.failures WHEN r.success THEN 0 ELSE h.failures + 1 END,
     CASE WHEN NOT {live} THEN h.until WHEN r.success THEN NULL WHEN h.failures + 1 >= {failures} THEN r.ts + INTERVAL {seconds} SECOND ELSE NULL END
   FROM h JOIN r ON r.{key} = h.{key} AND r.i = h.i + 1)
 """

@@ -26,6 +26,7 @@ def test_fifth_failure_locks_and_expiry_keeps_the_count():
     assert out["ignored"].tolist() == [False] * 5 + [True, False, True, False, False]
     assert out["blocked_until"][4] == 1804 * SECOND
     assert out["blocked_until"][6] == 3604 * SECOND
+    assert out["failures"][6] == 6
     assert out["failures"][8] == 0 and out["failures"][9] == 1
 
 
@@ -74,7 +75,8 @@ def test_effects_equal_folding(machine):
                 flags = np.array([a] * 3)
                 one = machine.fold(probe, flags, count, until)[0]
                 two = machine.fold(probe, flags, *real)[0]
-                assert all((one[k] == two[k]).all() for k in one)
+                # tables count failures to the limit only; fold_by_key counts them again
+                assert all((one[k] == two[k]).all() for k in one if k != "failures")
 
 
 @pytest.mark.parametrize("machine", [folds.Hold(3, 600), folds.Limit(3, 5, 400)], ids=str)

@@ -87,3 +87,35 @@ def test_attach_splits_hot_keys(spark):
     got = KeyedRows(df, ["k"], limit=20).attach(stats)
     assert got.count() == df.count()
     assert got.groupBy("k").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("c <> n").count() == 0
+
+
+def skewed(kind, n=2000):
+    """One hot key whose order column defeats cuts by value."""
+    t = {"early outlier": [-(10**12), *range(1, n)], "all equal": [7] * n, "bursts": [i // 500 for i in range(n)]}[kind]
+    return pd.DataFrame({"t": t, "id": range(n)})
+
+
+@pytest.mark.parametrize("key", [3, None])
+@pytest.mark.parametrize("kind", ["early outlier", "all equal", "bursts"])
+def test_hot_keys_are_cut_by_position(spark, kind, key):
+    pdf = skewed(kind)
+    df = spark.createDataFrame([(key, int(a), int(b)) for a, b in pdf.itertuples(index=False)] + [(1, 0, -1), (1, 1, -2)], "k long, t long, id long")
+    rows = KeyedRows(df, ["k"], ["t", "id"], limit=100)
+    sizes = [r["count"] for r in rows.pieces().groupBy("_piece").count().collect()]
+    assert sum(sizes) == len(pdf) and max(sizes) <= 200
+    got = rows.running({"n": ("count", F.lit(1)), "s": ("sum", F.col("id"))}).toPandas()
+    assert len(got) == len(pdf) + 2
+    hot = got[got["id"] >= 0].sort_values(["t", "id"])
+    assert hot["n"].tolist() == list(range(1, len(pdf) + 1))
+    assert hot["s"].tolist() == hot["id"].cumsum().tolist()
+    stats = df.groupBy("k").agg(F.count("*").alias("c"))
+    attached = rows.attach(stats).toPandas()
+    assert attached["c"].value_counts().to_dict() == {len(pdf): len(pdf), 2: 2}
+
+
+def test_equal_rows_are_cut(spark):
+    """Rows that agree in every order column have no order among them, but still split."""
+    df = spark.range(2000).select(F.lit(1).alias("k"), F.lit(5).alias("t"))
+    rows = KeyedRows(df, ["k"], ["t"], limit=100)
+    assert max(r["count"] for r in rows.pieces().groupBy("_piece").count().collect()) <= 200
+    assert sorted(r.n for r in rows.running({"n": ("count", F.lit(1))}).collect()) == list(range(1, 2001))
