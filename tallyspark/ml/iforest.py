@@ -109,9 +109,9 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: Sequence[str], name:
 
 
 def isolation_flags(df: DataFrame, features: Sequence[str], key: str, name: str = "isolated") -> DataFrame:
-    """Flags the tenth of rows with the highest scores; none below 50 rows."""
+    """Flags the tenth of rows with the highest scores; none below 50 rows, where the score is null."""
     if df.limit(LEAST_ROWS).count() < LEAST_ROWS:
-        return df.withColumn(name, F.lit(False))
+        return df.withColumns({"iso_score": F.lit(None).cast("double"), name: F.lit(False)})
     scored = score_forest(df, fit_forest(df, features, key), features)
     limit = table_quantiles(scored, {"_limit": ("iso_score", 1 - CONTAMINATION)})
     return with_scalars(scored, limit).withColumn(name, F.col("iso_score") > F.col("_limit")).drop("_limit")

@@ -35,21 +35,24 @@ def nearest(df: DataFrame, key: str, features: str, k: int = 5, block_rows: int
             return pd.DataFrame({"key": [], "neighbour": [], "distance": []})
         x, y = np.vstack(a["f"].to_numpy()), np.vstack(b["f"].to_numpy())
         ids, others = a["key"].to_numpy(), b["key"].to_numpy()
-        take = min(len(others), k + 9)
+        take = min(len(others), k)
         keys, found, dist = [], [], []
         for i in range(0, len(x), CHUNK_ROWS):
             part = x[i : i + CHUNK_ROWS]
-            rough = (part**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * part @ y.T
-            cand = np.argpartition(rough, take - 1, axis=1)[:, :take]
-            exact = np.sqrt(((part[:, None, :] - y[cand]) ** 2).sum(2))
-            exact[others[cand] == ids[i : i + CHUNK_ROWS, None]] = np.inf
-            order = np.lexsort((others[cand], exact), axis=1)[:, :k]
-            d = np.take_along_axis(exact, order, 1)
-            o = others[np.take_along_axis(cand, order, 1)]
-            keep = np.isfinite(d)
-            keys.append(np.repeat(ids[i : i + CHUNK_ROWS], keep.sum(1)))
-            found.append(o[keep])
-            dist.append(d[keep])
+            size = (part**2).sum(1)[:, None] + (y**2).sum(1)[None, :]
+            rough = size - 2 * part @ y.T
+            rough[others == ids[i : i + CHUNK_ROWS, None]] = np.inf
+            # Rounding moves a squared distance by less than this; all that may be among the
+            # k best stay, however many are equally far.
+            error = 8 * x.shape[1] * np.finfo(float).eps * size.max(1)
+            last = np.partition(rough, take - 1, axis=1)[:, take - 1]
+            for j, limit in enumerate(last + 2 * error):
+                near = np.flatnonzero(rough[j] <= limit) if np.isfinite(limit) else np.flatnonzero(np.isfinite(rough[j]))
+                exact = np.sqrt(((part[j] - y[near]) ** 2).sum(1))
+                best = np.lexsort((others[near], exact))[:k]
+                keys.append(np.full(len(best), ids[i + j]))
+                found.append(others[near[best]])
+                dist.append(exact[best])
         return pd.DataFrame(
             {"key": np.concatenate(keys), "neighbour": np.concatenate(found), "distance": np.concatenate(dist)}
         )

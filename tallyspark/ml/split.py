@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import uniform
-from tallyspark.plans.keyed import KeyedRows, table_quantiles, with_scalars
-
-TOP_K_LIMIT = 100_000
+from tallyspark.plans.keyed import KeyedRows, with_scalars
 
 
 def hash_number(seed: str, *parts: Column) -> Column:
-    """Repeatable 60-bit number from a seed and the row's identity."""
+    """Repeatable 52-bit number from a seed and the row's identity."""
     text = F.concat_ws(":", F.lit(seed), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
@@ -26,18 +24,10 @@ def positions(df: DataFrame, order: list[str], name: str = "_at") -> DataFrame:
 def sample_rows(df: DataFrame, size: int, key: str, seed: str = "42") -> DataFrame:
     """Exactly ``size`` rows (all, if there are fewer), chosen by hash of the unique key.
 
-    Small samples are a top-k; for large ones the size-th smallest hash is found first
-    and rows are kept where they are.
+    Rows are placed in the order of (hash, key), so equal hashes don't change the count.
     """
     keyed = df.withColumn("_h", hash_number(seed, F.col(key)))
-    if size <= TOP_K_LIMIT:
-        return keyed.orderBy("_h", key).limit(size).drop("_h")
-    total = df.count()
-    if total <= size:
-        return df
-    between = (size - 0.5) / (total - 1)
-    limit = table_quantiles(keyed.select(F.col("_h").cast("double").alias("_h")), {"_limit": ("_h", between)})
-    return with_scalars(keyed, limit).filter(F.col("_h") <= F.col("_limit")).drop("_h", "_limit")
+    return positions(keyed, ["_h", key]).filter(F.col("_at") < size).drop("_h", "_at")
 
 
 def stratified_sample(df: DataFrame, size: int, label: str, key: str, seed: str = "42") -> DataFrame:

@@ -155,10 +155,8 @@ def fill_missing(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
 
 # -- formats -------------------------------------------------------------------
 
-# Name parts that mark a date column, and sample sizes and shares.
+# Name parts that mark a date column, and shares.
 DATE_NAME_PARTS = ["date", "time", "created", "updated", "timestamp"]
-FORMAT_SAMPLE = 100
-DATE_TRIES = 10
 DATE_SHARE = 0.5
 NUMBER_SHARE = 0.7
 
@@ -166,23 +164,22 @@ NUMBER_SHARE = 0.7
 def detect_formats(df: DataFrame) -> dict[str, str]:
     """``date`` or ``number`` for text columns that hold dates or numbers.
 
-    The verdict comes from the first 100 values per column; only counts are fetched.
+    The verdict comes from the shares over all values, counted in one pass.
     """
+    counts = []
+    for c in string_columns(df):
+        v = F.lower(F.trim(c))
+        counts += [F.count(v).alias(f"n_{c}"), F.count(v.try_cast("timestamp")).alias(f"d_{c}"), F.count(strip_number(v)).alias(f"x_{c}")]
+    seen = df.agg(*counts).first() if counts else {}
     found = {}
     for c in string_columns(df):
         if any(p in c.lower() for p in DATE_NAME_PARTS):
             found[c] = "date"
             continue
-        sample = df.select(F.lower(F.trim(c)).alias("v")).filter(F.col("v").isNotNull()).limit(FORMAT_SAMPLE)
-        tries = sample.limit(DATE_TRIES)
-        dates = tries.agg(F.count("*").alias("n"), F.count(F.col("v").try_cast("timestamp")).alias("ok")).first()
-        if dates["n"] == 0:
-            continue
-        if dates["ok"] / dates["n"] > DATE_SHARE:
+        values = seen[f"n_{c}"]
+        if values and seen[f"d_{c}"] / values > DATE_SHARE:
             found[c] = "date"
-            continue
-        numbers = sample.agg(F.count("*").alias("n"), F.count(strip_number(F.col("v"))).alias("ok")).first()
-        if numbers["ok"] / numbers["n"] > NUMBER_SHARE:
+        elif values and seen[f"x_{c}"] / values > NUMBER_SHARE:
             found[c] = "number"
     return found
 
@@ -227,6 +224,9 @@ def quality_columns(
         out = large_amounts(out, amount)
         if out.limit(11).count() > 10:
             out = rolling_amount(out, keys, order, amount)
+        else:
+            none = F.lit(None).cast("double")
+            out = out.withColumns({"_amount_rolling_mean": none, "_amount_rolling_std": none})
     return out
 
 

@@ -23,15 +23,20 @@ def hours_between(then: Column, now: Column) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / F.lit(3_600_000_000.0)
 
 
-def sentiment(articles: DataFrame, content: str = "content") -> DataFrame:
-    """Mean polarity of the lexicon words in each text, 0 without any.
+def scored_text(first: str = "title", second: str = "content") -> Column:
+    """The two texts an article is scored on; a missing one is empty."""
+    return F.concat_ws(" ", first, second)
+
+
+def sentiment(articles: DataFrame) -> DataFrame:
+    """Mean polarity of the lexicon words in title and content, 0 without any.
 
     The lexicon is a fixed map, so words are scored where they are read; only two
     numbers per article are kept and nothing is shuffled.
     """
     pairs = [x for w, p in words.POLARITY.items() for x in (F.lit(w), F.lit(p))]
     lexicon = F.create_map(*pairs)
-    tokens = F.split(F.lower(content), r"(?U)\W+")
+    tokens = F.split(F.lower(scored_text()), r"(?U)\W+")
     known = F.filter(F.transform(tokens, lambda w: F.element_at(lexicon, w)), lambda p: p.isNotNull())
     total = F.aggregate("_known", F.lit(0.0), lambda a, p: a + p)
     return articles.withColumn("_known", known).withColumn(
@@ -42,7 +47,7 @@ def sentiment(articles: DataFrame, content: str = "content") -> DataFrame:
 
 def sentiment_by_lexicon(articles: DataFrame, lexicon: DataFrame, id_col: str = "id") -> DataFrame:
     """The same score from a lexicon table (word, polarity) of any size, by a join."""
-    tokens = articles.select(id_col, F.explode_outer(F.split(F.lower("content"), r"(?U)\W+")).alias("word"))
+    tokens = articles.select(id_col, F.explode_outer(F.split(F.lower(scored_text()), r"(?U)\W+")).alias("word"))
     counts = tokens.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_n"))
     matched = counts.join(lexicon, "word")
     scored = matched.groupBy(id_col).agg(
@@ -61,7 +66,7 @@ def process(articles: DataFrame, as_of: Column, interests: Sequence[str] = ()) -
             "summary": text.summary(F.col("content")),
             "symbols": text.symbols(both),
             "category": text.category(both),
-            "relevance_score": text.relevance(F.col("title"), hours, interests),
+            "relevance_score": text.relevance(scored_text("title", "description"), hours, interests),
             "read_time": text.read_minutes(F.col("content")),
         }
     )
@@ -95,7 +100,10 @@ def in_categories(articles: DataFrame, labels: Sequence[str]) -> DataFrame:
     if "All" in labels:
         return articles
     wanted = [c for label in labels for c in words.FEED_LABELS.get(label, [label.lower()])]
-    return articles.filter(F.col("category").isin(wanted))
+    # The category is a long ladder of conditions: computed once per row, as an element of
+    # an array, instead of again in the pushed-down filter.
+    once = articles.withColumn("category", F.explode(F.array("category")))
+    return once.filter(F.col("category").isin(wanted))
 
 
 def for_symbols(articles: DataFrame, tracked: DataFrame, id_col: str = "id") -> DataFrame:

@@ -259,6 +259,7 @@ def _ranked_quantiles(
 ) -> DataFrame:
     """Quantiles of few, large groups: sketch a value range per rank, then count.
 
+    Between two rows the formula is that of ``percentile``, so both forms round alike.
     The range is wider than the sketch's error and at least two rows wide in a group
     of ``least_rows``; a rank outside it would be an error, not a wrong value.
     """
@@ -306,11 +307,11 @@ def _ranked_quantiles(
         return F.max(F.when(holds & F.col("v").isNotNull(), F.col("v")))
 
     picked = ranked.groupBy(*keys, "q").agg(
-        at_rank(low).alias("a"), at_rank(high).alias("b"), F.max(F.col("at") - low).alias("f")
+        at_rank(low).alias("a"), at_rank(high).alias("b"), F.max(F.col("at") - low).alias("f"), F.max(high - F.col("at")).alias("g")
     )
     checked = F.when(
         F.col("a").isNull() | F.col("b").isNull(), F.raise_error(F.lit("quantile rank outside its range"))
-    ).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+    ).otherwise(F.when(F.col("f") == 0, F.col("a")).otherwise(F.col("g") * F.col("a") + F.col("f") * F.col("b")))
     outputs = [F.max(F.when(F.col("q") == i, checked)).alias(name) for i, name in enumerate(wanted)]
     return picked.groupBy(*keys).agg(*outputs) if keys else picked.agg(*outputs)
 

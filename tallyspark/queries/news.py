@@ -117,7 +117,7 @@ _CATEGORY_SQL = (
 )
 _PROCESS_SQL = f"""
 {_KEPT_SQL},
-l AS (SELECT *, lower(title || ' ' || content) AS low, lower(title) AS head, (epoch_us({_AS_OF}) - epoch_us(published_at)) / 3600000000.0::DOUBLE AS hours FROM kept),
+l AS (SELECT *, lower(title || ' ' || content) AS low, lower(concat_ws(' ', title, description)) AS head, (epoch_us({_AS_OF}) - epoch_us(published_at)) / 3600000000.0::DOUBLE AS hours FROM kept),
 r AS (SELECT *, least(1, ({" + ".join(f"CAST(contains(head, {_lit(k)}) AS INTEGER)" for k in words.FINANCE_KEYWORDS)}) / 31.0::DOUBLE * 0.6::DOUBLE
   + ({" + ".join(f"CAST(contains(head, {_lit(k.lower())}) AS INTEGER)" for k in INTERESTS)}) / 3.0::DOUBLE * 0.4::DOUBLE
   + greatest(0, 1 - hours / 24) * 0.2::DOUBLE) AS relevance, {_CATEGORY_SQL} AS category,
@@ -145,7 +145,7 @@ def article_relevance(spark, folder):
 _LEXICON = ", ".join(f"({_lit(w)}, {p}::DOUBLE)" for w, p in words.POLARITY.items())
 _SENTIMENT_SQL = rf"""
 lex AS (SELECT * FROM (VALUES {_LEXICON}) v(word, polarity)),
-tok AS (SELECT id, unnest(regexp_split_to_array(lower(content), '[^{_WORD}]+')) AS word FROM articles),
+tok AS (SELECT id, unnest(regexp_split_to_array(lower(concat_ws(' ', title, content)), '[^{_WORD}]+')) AS word FROM articles),
 sc AS (SELECT id, avg(polarity) AS s FROM tok JOIN lex ON tok.word = lex.word GROUP BY id),
 sent AS (SELECT a.id, a.published_at, coalesce(s, 0) AS s FROM articles a LEFT JOIN sc ON a.id = sc.id)
 """
@@ -258,10 +258,10 @@ def article_ages(spark, folder):
     "S19 U1 F11",
     views="articles",
     sql=f"""
-SELECT 'a' || id AS key, coalesce(title, 'Untitled') AS title, length(content) AS n_chars, CASE WHEN id % 3 = 0 THEN 'Unknown' ELSE source END AS source,
+SELECT 'a' || id AS key, coalesce(title, 'Untitled') AS title, length(content) AS n_chars, length(description) AS n_description, CASE WHEN id % 3 = 0 THEN 'Unknown' ELSE source END AS source,
   CASE WHEN id % 5 = 0 THEN {_AS_OF} ELSE published_at END AS published_at FROM articles
 UNION ALL
-SELECT 'p' || page_id, 'Untitled', length(html), 'Alpha Vantage', TIMESTAMP '2024-01-15 00:00:00' + to_hours(CAST(page_id AS BIGINT)) FROM pages
+SELECT 'p' || page_id, 'Untitled', length(html), length(html), 'Alpha Vantage', TIMESTAMP '2024-01-15 00:00:00' + to_hours(CAST(page_id AS BIGINT)) FROM pages
 """,
 )
 def merged_news_sources(spark, folder):
@@ -274,6 +274,7 @@ def merged_news_sources(spark, folder):
         F.to_json(
             F.struct(
                 "title",
+                "description",
                 "content",
                 F.when(F.col("id") % 5 == 0, "not a date")
                 .otherwise(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
@@ -301,6 +302,7 @@ def merged_news_sources(spark, folder):
         "key",
         "title",
         F.length("content").cast("long").alias("n_chars"),
+        F.length("description").cast("long").alias("n_description"),
         "source",
         F.col("published_at").cast("timestamp_ntz").alias("published_at"),
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.plans.lineage import fresh_dir
@@ -9,16 +12,20 @@ from tallyspark.queries.registry import query
 from tallyspark.sources import store, views
 from tallyspark.sources.tables import table
 
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
 
-@query("S1 S4", views="expenses", sql="SELECT amount_text AS amount, merchant, category FROM expenses")
+@query("S1 S4", views="expenses", sql="SELECT amount_text AS amount, merchant, description, category FROM expenses")
 def expense_file_round_trip(spark, folder):
     """Saved as CSV with a header and read back with the fixed schema."""
     path = fresh_dir(spark, store.csv_folder("expenses", "20240201_000000"))
     rows = views.expenses(spark, folder).select(
-        F.col("amount_text").alias("amount"), "merchant", F.lit("-").alias("description"), "category"
+        F.col("amount_text").alias("amount"), "merchant", "description", "category"
     )
     store.save_csv(rows, path)
-    return store.read_training_file(spark, "expenses", path).drop("description")
+    return store.read_training_file(spark, "expenses", path)
 
 
 @query(
@@ -36,8 +43,8 @@ def saved_transactions(spark, folder):
         "id", "user_id", F.date_trunc("month", "date").alias("year_month"), "amount"
     )
     # Fewer files: rows of a month go together, busy months are split.
-    store.save_table(rows.filter("id % 2 = 0").hint("rebalance"), path, "replace")
-    store.save_table(rows.filter("id % 2 = 1").hint("rebalance"), path, "append")
+    store.save_table(rows.filter("id % 2 = 0").hint("rebalance", "year_month"), path, "replace", ["year_month"])
+    store.save_table(rows.filter("id % 2 = 1").hint("rebalance", "year_month"), path, "append", ["year_month"])
     return store.load_table(
         spark, path, "amount > :least AND year_month = :month", {"least": 300000.0, "month": "1997-05"}
     )
@@ -76,14 +83,12 @@ def stored_prices(spark, folder):
 
 @query(
     "S10 S11",
-    sql="""
-SELECT 'customer' AS name, count(*) AS row_count, TRUE AS has_bytes FROM customer UNION ALL SELECT 'orders', count(*), TRUE FROM orders
-""",
+    sql=" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS row_count, TRUE AS has_bytes FROM {t}" for t in TABLES),
 )
 def snapshot_sizes(spark, folder):
-    """Row counts read from a snapshot, and whether its files have a size."""
+    """Row counts read from a snapshot of all tables, and whether their files have a size."""
     path = fresh_dir(spark, "backup")
-    sources = {n: f"{folder}/{n}.parquet" for n in ("customer", "orders")}
+    sources = {n: f"{folder}/{n}.parquet" for n in TABLES}
     copies = store.snapshot(spark, sources, path, "20240201_000000")
     parts = [
         spark.read.parquet(copy).agg(
@@ -93,7 +98,7 @@ def snapshot_sizes(spark, folder):
         )
         for name, copy in copies.items()
     ]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(

@@ -102,6 +102,7 @@ def news_a(df: DataFrame, as_of: Column, payload: str = "payload") -> DataFrame:
     return df.select(
         *keep,
         F.coalesce(p["title"], F.lit(UNTITLED)).alias("title"),
+        p["description"].alias("description"),
         F.coalesce(p["content"], p["description"]).alias("content"),
         p["url"].alias("url"),
         F.coalesce(p["source"]["name"], F.lit(UNKNOWN_SOURCE)).alias("source"),
@@ -118,6 +119,7 @@ def news_b(df: DataFrame, as_of: Column, payload: str = "payload") -> DataFrame:
     return df.select(
         *keep,
         F.coalesce(p["title"], F.lit(UNTITLED)).alias("title"),
+        p["summary"].alias("description"),
         p["summary"].alias("content"),
         p["url"].alias("url"),
         F.lit(NEWS_B_SOURCE).alias("source"),

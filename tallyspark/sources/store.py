@@ -13,6 +13,9 @@ from tallyspark.ml.jobs import folder_size
 # Write mode behind each name.
 MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
 
+# Quotes inside a field are doubled, so quotes, separators and line breaks come back; spaces are kept.
+CSV_FORMAT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 # Stored names of price columns.
 PRICE_NAMES = {
     "Open": "open_price",
@@ -29,8 +32,8 @@ PRICE_NAMES = {
 
 def read_training_file(spark: SparkSession, kind: str, path: str) -> DataFrame:
     """A training CSV with its fixed schema; columns are matched by the header."""
-    reader = spark.read.schema(schemas.TRAINING_FILES[kind])
-    return reader.option("header", True).option("enforceSchema", True).csv(path)
+    reader = spark.read.schema(schemas.TRAINING_FILES[kind]).options(**CSV_FORMAT)
+    return reader.option("multiLine", True).option("enforceSchema", True).csv(path)
 
 
 def csv_folder(name: str, as_of: str) -> str:
@@ -39,7 +42,7 @@ def csv_folder(name: str, as_of: str) -> str:
 
 
 def save_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).mode("overwrite").csv(path)
+    df.write.options(**CSV_FORMAT).mode("overwrite").csv(path)
 
 
 def save_table(df: DataFrame, path: str, if_exists: str = "append", partition: Sequence[str] = ()) -> None:

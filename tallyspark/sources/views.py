@@ -207,7 +207,7 @@ def expenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @view(f"""
-SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, text AS content, source,
+SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, split_part(text, chr(10), 2) AS description, text AS content, source,
        TIMESTAMP '{EVENTS_AS_OF}' - to_minutes(CAST(doc_id * 3 AS BIGINT)) AS published_at
 FROM documents
 """)
@@ -216,6 +216,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", "text", "source")).select(
         F.col("doc_id").alias("id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(2)).alias("description"),
         F.col("text").alias("content"),
         "source",
         (F.lit(EVENTS_AS_OF).cast("timestamp_ntz") - back).alias("published_at"),

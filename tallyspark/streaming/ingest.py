@@ -17,32 +17,28 @@ from pyspark.sql.types import StructType
 
 from tallyspark.sources.payloads import message_id
 
-# Records per batch and longest wait of the ingest loop.
-BATCH_RECORDS, BATCH_WAIT = 100, "1 second"
+# Longest wait of the ingest loop.
+BATCH_WAIT = "1 second"
 
 
 def file_stream(
-    spark: SparkSession, folder: str, pattern: str, schema: StructType, ts: str | None = "ts", files_per_batch: int = 100
+    spark: SparkSession, folder: str, pattern: str, schema: StructType, ts: str | None = "ts", files_per_batch: int | None = None
 ) -> DataFrame:
-    """Parquet files as a stream."""
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """Parquet files as a stream; a trigger takes all that is there unless bounded."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(folder)
     return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: str, records: int = BATCH_RECORDS) -> DataFrame:
-    """JSON records of a topic as a stream; needs the Kafka connector on the class path."""
-    raw = (
-        spark.readStream.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topic)
-        .option("maxOffsetsPerTrigger", records)
-        .load()
-    )
+def kafka_stream(spark: SparkSession, servers: str, topic: str, schema: str, records: int | None = None) -> DataFrame:
+    """JSON records of a topic as a stream; needs the Kafka connector on the class path.
+
+    A trigger takes all new records unless ``records`` bounds it.
+    """
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+    raw = (reader.option("maxOffsetsPerTrigger", records) if records else reader).load()
     return parsed(raw.select(F.col("value").cast("string").alias("payload"), "timestamp"), schema)
 
 

@@ -98,16 +98,26 @@ def test_forest_finds_far_points(spark):
 def test_samples(spark):
     df = spark.range(5000)
     assert split.sample_rows(df, 700, "id").count() == 700
-    split.TOP_K_LIMIT, kept = 10, split.TOP_K_LIMIT
-    try:
-        large = split.sample_rows(df, 700, "id")
-        assert large.count() == 700 and large.select("id").distinct().count() == 700
-    finally:
-        split.TOP_K_LIMIT = kept
+    rows = split.sample_rows(df.withColumn("id", F.col("id") % 50), 77, "id")  # equal hashes
+    assert rows.count() == 77
+    assert split.sample_rows(df, 9000, "id").count() == 5000
+
+
+def test_equal_points_take_the_smallest_keys(spark):
+    df = spark.range(60).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("f"))
+    near = neighbours.nearest(df, "id", "f", 5, block_rows=25)
+    assert [r.neighbour for r in near.filter("key = 30").orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert [r.neighbour for r in near.filter("key = 2").orderBy("rank").collect()] == [0, 1, 3, 4, 5]
+
+
+def test_small_table_keeps_the_score_column(spark):
+    out = iforest.isolation_flags(spark.createDataFrame([(1, 2.0)], "id long, V1 double"), ["V1"], "id")
+    assert out.columns == ["id", "V1", "iso_score", "isolated"] and out.first().iso_score is None
 
 
 def test_search_points():
     draws = jobs.random_points(jobs.BOOST_RANGES, 5)
     assert draws == jobs.random_points(jobs.BOOST_RANGES, 5)
     assert all(30 <= p["maxIter"] <= 100 and 0.05 <= p["stepSize"] <= 0.3 for p in draws)
-    assert len(jobs.grid_points({"a": range(10), "b": range(10)}, cap=7)) == 7
+    assert len(jobs.grid_points({"a": range(10), "b": range(10)}, choose=7)) == 7
+    assert len(jobs.grid_points({"a": range(40), "b": range(40)})) == 1600

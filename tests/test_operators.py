@@ -59,6 +59,8 @@ def test_column_steps(spark):
     assert values(fixed, "created") == [datetime(2024, 1, 2), None, datetime(2024, 2, 3)]
     dates = spark.createDataFrame([("2024-01-02",), ("2024-01-03",)], "x string")
     assert cleaning.detect_formats(dates) == {"x": "date"}
+    late = spark.createDataFrame([(f"word{i}",) for i in range(200)] + [(str(i),) for i in range(900)], "x string")
+    assert cleaning.detect_formats(late) == {"x": "number"}  # all values count, not the first ones
     kept = cleaning.drop_constant_columns(spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double"), ["a", "b"])
     assert kept.columns == ["b"]
 

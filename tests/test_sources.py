@@ -94,3 +94,11 @@ def test_prices_of_other_symbols_stay(spark, scratch):
     copies = store.snapshot(spark, {"prices": path}, f"{scratch}/backup", "1")
     assert spark.read.parquet(copies["prices"]).count() == 2
     assert store.size_megabytes(spark, path) > 0
+
+
+def test_csv_keeps_quotes_separators_and_line_breaks(spark, scratch):
+    rows = [("1.5", "Shop, \"A\"", "two\nlines, \"quoted\" \\ back", "food"), ("2", " padded ", "plain", "x")]
+    df = spark.createDataFrame(rows, "amount string, merchant string, description string, category string")
+    store.save_csv(df, f"{scratch}/e.csv")
+    back = store.read_training_file(spark, "expenses", f"{scratch}/e.csv")
+    assert sorted(tuple(r) for r in back.select("amount", "merchant", "description", "category").collect()) == sorted(rows)
