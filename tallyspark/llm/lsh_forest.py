@@ -3,15 +3,16 @@
 Each text becomes its set of distinct five-word shingles. Texts with equal sets form one class, which goes on as its
 smallest id, so copies never meet as pairs. A class has ``3 * TREES`` minimum hashes. Tree t orders all classes by the
 hashes from number 3t on (cyclically, ``DEPTH`` of them), and each class is paired with its ``REACH`` next neighbours in
-that order as long as the first three hashes agree. Neighbours in the order share the longest prefix there is, so a
-crowded region compares at greater depth and a sparse one at three. The orders are made by range partitioning, which
+that order as long as the first three hashes agree. Neighbours in the order share the longest prefix there is, so depth
+follows the region; in a crowded one (more than ``CROWD`` classes that agree in three hashes) only the ``CLOSE`` next ones are
+taken, and hubs (below) stand for the rest. So pairs grow with the classes, never with the square of a region. The orders are made by range partitioning, which
 splits a crowded region at any place; the few rows at partition borders are paired in a second step.
 
 A pair of similarity s agrees in the three first hashes of some tree with probability 1 - (1 - s^3)^24, 0.999998 at 0.75.
 Pairs whose sketches agree in less than ``ROUGH`` of the hashes are dropped (0.75 is 4.9 standard deviations above it).
 The others are confirmed on full sets until no unconfirmed pair lies between two components: first one pair per class,
-then one per component, then all that still cross. Pairs inside a component cannot change it and aren't confirmed. Before
-the last step, ends of crossing pairs also meet the hubs of the other end's component (see ``_to_hubs``).
+then from both ends of crossing pairs to hubs of the other end's component (see ``_to_hubs``), then all that still cross.
+Pairs inside a component cannot change it and aren't confirmed.
 
 Null or empty texts have no shingles and are linked with nothing. Rows with one id are one document. A null id is linked
 with nothing, its component is null and it is kept. An empty table gives no rows.
@@ -34,8 +35,10 @@ from tallyspark.sources.tables import spread
 SHINGLE = 5
 SIMILAR = 75  # per cent
 TREES, FIRST, DEPTH, REACH = 24, 3, 9, 8
+CROWD, CLOSE = 12, 2
 ROUGH, LIKELY = 0.5, 0.85
-HUBS = 3
+HUBS = 4
+PART_ROWS = 100_000  # rows of small tables (pairs, links, labels) that go to one task
 HASHES = TREES * FIRST
 _RANDOM = np.random.default_rng(71)
 _TIMES = _RANDOM.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,10 +93,13 @@ def _sets(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _next_neighbours(ids: np.ndarray, tree: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids at most ``REACH`` apart in the order whose first hashes agree."""
-    first = np.ascontiguousarray(order[:, : 4 * FIRST]).view(f"V{4 * FIRST}").ravel()
+    """Pairs of ids at most ``REACH`` apart in the order whose first hashes agree, ``CLOSE`` in a crowd."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (tree[1:] != tree[:-1]) | (order[1:, : 4 * FIRST] != order[:-1, : 4 * FIRST]).any(1)
+    region = np.cumsum(new)
+    crowded = np.bincount(region)[region] > CROWD
     for step in range(1, min(REACH, len(ids) - 1) + 1):
-        near = np.flatnonzero((tree[step:] == tree[:-step]) & (first[step:] == first[:-step]) & (ids[step:] != ids[:-step]))
+        near = np.flatnonzero((region[step:] == region[:-step]) & (ids[step:] != ids[:-step]) & ((step <= CLOSE) | ~crowded[step:]))
         yield ids[near], ids[near + step]
 
 
@@ -210,55 +216,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``id`` and ``label``, the smallest id reachable, for every id in the links ``a, b``.
+    """``id`` and ``label``, the smallest id reachable, for every id in the links ``a, b`` but that smallest one.
 
-    Alternates two steps until nothing changes: every id hands its smallest neighbour to its larger neighbours, then to
-    its smaller ones. Distances halve, so rounds grow with the logarithm of the longest path.
+    Alternates two steps until every id points to a root and nowhere else: every id hands its smallest neighbour to its
+    larger neighbours, then to its smaller ones. Distances halve, so rounds grow with the logarithm of the longest path.
     """
-    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-    before = None
-    while True:
+    edges, parts = _few(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() or _two_ways(edges):
         ways = edges.union(edges.select("v", "u"))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
-        before = now
+        edges, parts = _few(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").coalesce(parts).distinct())
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
+
+
+def _two_ways(edges: DataFrame) -> bool:
+    """Whether an id still has two smaller neighbours."""
+    return not edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def _few(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpointed table in as few partitions as its rows need, and their number."""
+    kept = cut(df)
+    parts = max(1, -(-kept.count() // PART_ROWS))
+    return kept.coalesce(parts), parts
 
 
 def links(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``label`` of all classes that are linked, from ``docs`` and its classes (``id, signature``)."""
     sketches = cut(_sketches(classes))
-    pairs = cut(_alike(candidates(classes), sketches))
+    pairs, _ = _few(_alike(candidates(classes), sketches))
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = cut(_sets(docs.select(id, text).join(needed.toDF(id), id, "left_semi"), id, text))
     labels = None
     open_pairs = pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"), "share")
-    for way in ("each", "each", "hubs", "all"):
+    for way in ("each", "hubs", "all"):
         if way == "hubs":
-            tried = cut(_to_hubs(open_pairs, pairs, labels, sketches))
+            tried = _to_hubs(open_pairs, pairs, labels, sketches)
         else:
             tried = (_one_each(open_pairs) if way == "each" else open_pairs).select("a", "b", "la", "lb")
-        found = cut(_confirmed(tried.select("a", "b"), sets))
+        tried, _ = _few(tried)
+        found = _confirmed(tried.select("a", "b"), sets)
         merged = components(found.join(tried, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
         if labels is None:
             labels = merged
         else:
             moved = labels.join(merged.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-            labels = cut(moved.union(merged.join(labels.select("id"), "id", "left_anti")))
+            labels, _ = _few(moved.union(merged.join(labels.select("id"), "id", "left_anti")))
         if way == "all":
             break
         at = labels.toDF("x", "to")
         crossing = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         crossing = crossing.join(at, F.col("a") == F.col("x"), "left").withColumn("la", F.coalesce("to", "a")).drop("x", "to")
         crossing = crossing.join(at, F.col("b") == F.col("x"), "left").withColumn("lb", F.coalesce("to", "b")).drop("x", "to")
-        open_pairs = cut(crossing.filter("la <> lb").select("a", "b", "la", "lb", "share"))
+        open_pairs, _ = _few(crossing.filter("la <> lb").select("a", "b", "la", "lb", "share"))
         if open_pairs.isEmpty():
             break
     return labels
@@ -277,7 +290,7 @@ def _to_hubs(open_pairs: DataFrame, pairs: DataFrame, labels: DataFrame, sketche
     hubs = weight.withColumn("n", place).filter(f"n <= {HUBS}").select("l", F.col("id").alias("hub"))
     ends = open_pairs.select(F.col("a").alias("x"), F.col("la").alias("lx"), F.col("lb").alias("l")).union(open_pairs.select("b", "lb", "la")).distinct()
     met = ends.join(hubs, "l").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"), F.when(F.col("x") < F.col("hub"), F.col("lx")).otherwise(F.col("l")).alias("la"), F.when(F.col("x") < F.col("hub"), F.col("l")).otherwise(F.col("lx")).alias("lb")).distinct()
-    met = cut(met)
+    met, _ = _few(met)
     return met.join(_alike(met.select("a", "b"), sketches).select("a", "b"), ["a", "b"])
 
 

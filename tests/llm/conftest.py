@@ -18,7 +18,3 @@ def make_docs(spark):
         return df
 
     return make
-
-
-def rows_of(df, *names):
-    return sorted(tuple(r[n] for n in names) if names else tuple(r) for r in df.collect())

@@ -1,50 +1,12 @@
 """Near duplicates against all pairs, components against a plain union-find, and the edges of the definition."""
 
 import random
-import re
-from itertools import combinations
+
+from llm_helpers import brute, roots
 
 from tallyspark.llm import lsh_forest as L
 from tallyspark.llm.queries import QUERIES
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-
-
-def shingles(text):
-    w = WORD.findall((text or "").translate(LOWER))
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
-def roots(ids, pairs):
-    up = {i: i for i in ids}
-
-    def top(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for a, b in pairs:
-        a, b = sorted((top(a), top(b)))
-        up[b] = a
-    return {i: top(i) for i in ids}
-
-
-def brute(docs):
-    """Pairs that share a shingle, counted; docs: id to text, or to several texts."""
-    sets = [(i, shingles(t)) for i, t in docs]
-    by = {}
-    for k, (_, s) in enumerate(sets):
-        for x in s:
-            by.setdefault(x, []).append(k)
-    common = {}
-    for own in by.values():
-        for a, b in combinations(own, 2):
-            common[a, b] = common.get((a, b), 0) + 1
-    pairs = [(sets[a][0], sets[b][0]) for (a, b), n in common.items() if 100 * n >= 75 * (len(sets[a][1]) + len(sets[b][1]) - n)]
-    return roots({i for i, _ in docs}, pairs), {k: len(s) for k, (_, s) in enumerate(sets)}
-
-
 def test_query_against_all_pairs(spark):
     folder = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]

@@ -1,21 +1,9 @@
 """The rule ledger against a plain Python version."""
 
-import re
+from llm_helpers import measures
 
 from tallyspark.llm import rule_ledger as L
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def plain(text):
-    text = text or ""
-    w = WORD.findall(text)
-    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
-    covered = {j for i, x in enumerate(windows) if windows.count(x) > 1 for j in range(i, i + 8)}
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
-
-
 TEXTS = [
     None, "", " \n\t ", "one", "  a\x0bb\x0cc\r\nd", "a b c d e f g h " * 3, "x " * 40, "l1 w\nl1 w\n\nl1 w \n", "Straße 漢字 # * | <a>",
     "a b c d e f g h i j k a b c d e f g h i z " + "q r s " * 2, "word " * 7, "é" * 5000, " ".join(f"w{i}" for i in range(3000)) + " " + " ".join(f"w{i}" for i in range(10)),
@@ -25,7 +13,7 @@ TEXTS = [
 def test_measures(spark, make_docs):
     rows = {r.doc_id: r for r in L.decided(make_docs(list(enumerate(TEXTS)), extra=("n_words", "kept", "__w"))).collect()}
     for i, text in enumerate(TEXTS):
-        r, want = rows[i], plain(text)
+        r, want = rows[i], measures(text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want, text
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
         assert not (r.kept and r.base_failed)

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from llm_helpers import placed
 from tokenizers import Tokenizer
 
 from tallyspark.llm import byte_codec, packing, token_counts
@@ -82,18 +83,6 @@ def test_packing_query(spark):
     assert len({r.sequence_id for r in rows}) <= 1.05 * -(-total // 1024) + 1
 
 
-def placed(rows, capacity):
-    by = defaultdict(list)
-    for r in rows:
-        by[r.sequence_id].append((r.offset, r.length))
-    for own in by.values():
-        at = 0
-        for offset, length in sorted(own):
-            assert offset == at
-            at += length
-        assert at <= capacity or len(own) == 1
-
-
 def test_rule_chooses_the_smallest_sum_of_squares():
     """The vectorised choice against one that recomputes the whole sum."""
     rnd = np.random.default_rng(3)
