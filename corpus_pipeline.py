@@ -32,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that no rule of the policy rejects."""
-    return rule_ledger.decided(_keyed(docs), id="doc").filter("kept").select("doc.*")
+    return rule_ledger.passing(_keyed(docs), id="doc").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

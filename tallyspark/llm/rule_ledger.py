@@ -119,3 +119,12 @@ def decided(docs: DataFrame, policy: str = "v1", id: str = "doc_id", text: str =
     rules = {"base": BASE, "own": POLICIES[policy]}
     book = verdicts(ledger(docs, id, text), rules)
     return book.withColumns({"base_failed": ~F.col("kept_base"), "kept": F.col("kept_base") & F.col("kept_own")}).drop("kept_base", "kept_own")
+
+
+def passing(docs: DataFrame, policy: str = "v1", id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id`` of the rows that the policy keeps.
+
+    The verdict goes through a generator: a plain filter would be pushed below the measurements, which are then computed
+    again in it, once for every mention.
+    """
+    return decided(docs, policy, id, text).select(id, F.explode(F.array("kept")).alias("kept")).filter("kept").select(id)
