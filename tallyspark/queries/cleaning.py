@@ -162,8 +162,7 @@ def standardised_formats(spark, folder):
         .otherwise(F.concat(F.lit("$"), F.format_number(F.col("full_value") * 1000, 2)))
         .alias("price"),
     )
-    formats = {"created": "date", "price": "number", "label": "text"}
-    return cleaning.standardise_formats(rows, formats)
+    return cleaning.standardise_formats(rows)
 
 
 @query(

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import exprs
 from tallyspark.functions.words import STOP_WORDS
 from tallyspark.ml import ensembles, features, iforest, jobs, metrics, neighbours, split
 from tallyspark.operators import anomaly, bars, people
-from tallyspark.plans.lineage import fresh_dir
+from tallyspark.plans.lineage import cut, fresh_dir
 from tallyspark.queries.bars import rounded
 from tallyspark.queries.registry import query
 from tallyspark.sources import views
@@ -368,7 +372,7 @@ def _shown(df, key, *more):
 
 def _cards(spark, folder):
     rows = split.with_class_weights(views.v_features(spark, folder), "class")
-    return split.stratified_folds(rows, "class", "id").persist()
+    return cut(split.stratified_folds(rows, "class", "id"))
 
 
 @query("M4 M5 M8 M11 M15 M18")
@@ -399,7 +403,7 @@ def _expenses(spark, folder):
 @query("M1 M2 M4 M5 M8 M15 X5")
 def expense_categories(spark, folder):
     """Category of held-out expenses from text, merchant and size."""
-    rows = split.stratified_folds(_expenses(spark, folder), "category", "id").persist()
+    rows = cut(split.stratified_folds(_expenses(spark, folder), "category", "id"))
     model = jobs.fit_expense(rows.filter("fold <> 0"), trees=10, rounds=2, text_terms=100)
     return _shown(model.transform(rows.filter("fold = 0")), "id", "category")
 
@@ -423,7 +427,7 @@ def _people(spark, folder):
 @query("M3 M4 M6 M7 M9 M15")
 def income_predictions(spark, folder):
     """Income class of held-out people by a stacked ensemble."""
-    rows = split.stratified_folds(_people(spark, folder), "label", "id").persist()
+    rows = cut(split.stratified_folds(_people(spark, folder), "label", "id"))
     model = jobs.fit_income(rows.filter("fold <> 0"), _NUMBERS, _TEXTS, "label", "id", trees=10, more=10, depth=5, rounds=10)
     return _shown(model.transform(rows.filter("fold = 0")), "id", "label")
 
@@ -450,7 +454,7 @@ def _direction_rows(spark, folder):
 @query("M4 M6 M7 M8 M11 M15 W3 W7 W10 P28")
 def direction_predictions(spark, folder):
     """Next-bar direction for the last fifth of the bars, trained on the bars before."""
-    rows = split.time_split(_direction_rows(spark, folder), ["ts", "symbol"]).persist()
+    rows = cut(split.time_split(_direction_rows(spark, folder), ["ts", "symbol"]))
     model = jobs.fit_direction(rows.filter("NOT is_test"), trees=20)
     return _shown(model.transform(rows.filter("is_test")), "symbol", "ts", "direction")
 
@@ -480,3 +484,118 @@ def smaller_model_report(spark, folder):
         fresh_dir(spark, "models"),
         "fraud",
     )
+
+
+# -- parts of fitted models, computed again from what they store ----------------------
+
+
+def _agreement(df: DataFrame, differs) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("scored"), F.count_if(differs).alias("mismatches"))
+
+
+_ALL_AGREE = "SELECT count(*) AS scored, 0::BIGINT AS mismatches FROM v_features"
+
+
+def _small_vote(spark, folder):
+    """A vote of all kinds of members, small: its parts are checked here, not its quality."""
+    rows = cut(views.v_features(spark, folder).select("id", F.col("class").cast("double").alias("class"), *_V))
+    prepare = Pipeline(stages=[VectorAssembler(inputCols=_V, outputCol="features")])
+    members = [
+        ensembles.boosted_trees("class", "features", 3, 3),
+        ensembles.random_forest("class", "features", 5, 4),
+        ensembles.extra_trees("class", "features", 5, 4),
+        ensembles.linear_svc("class", "features", 10),
+        ensembles.logistic("class", "features"),
+    ]
+    return rows, ensembles.SoftVote.fit(rows, prepare, members)
+
+
+@query("M4 M5 M6 M7 M8", views="v_features", sql=_ALL_AGREE)
+def vote_is_the_mean_of_members(spark, folder):
+    """The vote's probability against the mean over the members, each scored alone; its class is the larger one."""
+    rows, vote = _small_vote(spark, folder)
+    ready = vote.prepare.transform(vote.transform(rows).withColumnsRenamed({"probability": "_vote", "prediction": "_class"}))
+    for i, member in enumerate(vote.models):
+        ready = ensembles.class_probabilities(member, ready, f"_m{i}")
+    mean = sum((F.element_at(f"_m{i}", 2) for i in range(len(vote.models))), F.lit(0.0)) / len(vote.models)
+    risk = F.element_at("_vote", 2)
+    wrong = (F.abs(risk - mean) > 1e-9) | ((F.col("_class") == 1) != (risk > F.element_at("_vote", 1)))
+    return _agreement(ready, F.coalesce(wrong, F.lit(True)))
+
+
+@query("M7 M15", views="v_features", sql=_ALL_AGREE)
+def scores_from_coefficients(spark, folder):
+    """Logistic and linear members against the logistic function of their stored coefficients."""
+    rows, vote = _small_vote(spark, folder)
+    machine, logistic = vote.models[3], vote.models[4]
+    scored = ensembles.class_probabilities(machine, vote.prepare.transform(rows), "_svc")
+    scored = ensembles.class_probabilities(logistic, scored, "_log")
+
+    def plain(model):
+        terms = [F.col(c) * float(w) for c, w in zip(_V, model.coefficients.toArray())]
+        return 1 / (1 + F.exp(-sum(terms, F.lit(float(model.intercept)))))
+
+    wrong = (F.abs(F.element_at("_svc", 2) - plain(machine)) > 1e-9) | (F.abs(F.element_at("_log", 2) - plain(logistic)) > 1e-9)
+    return _agreement(scored, F.coalesce(wrong, F.lit(True)))
+
+
+@query("M16", views="v_features", sql=_ALL_AGREE)
+def reloaded_model_scores(spark, folder):
+    """A saved vote, loaded again, against the one in memory."""
+    rows, vote = _small_vote(spark, folder)
+    path = fresh_dir(spark, "saved")
+    vote.save(path)
+    both = vote.transform(rows).withColumnRenamed("probability", "_before").drop("prediction")
+    both = ensembles.load_ensemble(path).transform(both)
+    return _agreement(both, F.abs(F.element_at("probability", 2) - F.element_at("_before", 2)) > 1e-12)
+
+
+@query(
+    "M17",
+    sql="SELECT * FROM (VALUES ('first', 'broken', 'failed: no rows'), ('first', 'vote', 'trained'), ('second', 'broken', 'failed: no rows'), ('second', 'vote', 'kept'), ('third', 'broken', 'failed: no rows'), ('third', 'vote', 'trained')) t(run, model, outcome)",
+)
+def missing_models_trained(spark, folder):
+    """Trains what a model folder lacks; a second run keeps it, a forced third trains again."""
+    path = fresh_dir(spark, "folder")
+    _, vote = _small_vote(spark, folder)
+
+    def broken():
+        raise ValueError("no rows")
+
+    trainers = {"vote": lambda: (vote, {"trees": 5}, {}, {}), "broken": broken}
+    rows = []
+    for run, force in (("first", False), ("second", False), ("third", True)):
+        rows += [(run, name, outcome) for name, outcome in jobs.train_missing(spark, path, trainers, force).items()]
+    return spark.createDataFrame(rows, "run string, model string, outcome string")
+
+
+@query("D8", views="v_features", sql=_ALL_AGREE)
+def forest_scores_from_nodes(spark, folder):
+    """Isolation scores against a walk down the stored nodes, level by level, as joins."""
+    rows = cut(views.v_features(spark, folder).select("id", *_V))
+    nodes = cut(iforest.fit_forest(rows, _V, "id"))
+    scored = iforest.score_forest(rows, nodes, _V)
+    values = rows.select("id", F.array(*_V).alias("x"))
+    at = values.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(iforest.TREES - 1)))).withColumn("node", F.lit(0))
+    for _ in range(math.ceil(math.log2(iforest.TREE_ROWS))):
+        low = F.get("x", F.col("feature")) <= F.col("at")
+        step = F.when(F.col("feature") < 0, F.col("node")).when(low, F.col("left")).otherwise(F.col("right"))
+        at = at.join(nodes, ["tree", "node"]).select("id", "x", "tree", step.alias("node"))
+    path = at.join(nodes, ["tree", "node"]).groupBy("id").agg(F.avg("length").alias("length"))
+    both = scored.join(path, "id")
+    plain = F.pow(F.lit(2.0), -F.col("length") / iforest.mean_path(iforest.TREE_ROWS))
+    return _agreement(both, F.abs(F.col("iso_score") - plain) > 1e-9)
+
+
+@query("T4 M4 M5", views="v_features", sql="SELECT 28::BIGINT AS features, 0::BIGINT AS out_of_order, 1.0::DOUBLE AS total FROM (SELECT count(*) FROM v_features)")
+def importance_ranking(spark, folder):
+    """All features once, in falling order of mean importance, which adds up to one."""
+    _, vote = _small_vote(spark, folder)
+    ranked = ensembles.importances(vote, _V)
+    df = spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate(ranked)], "place int, feature string, importance double")
+    before = F.lag("importance").over(Window.orderBy("place"))
+    return df.withColumn("_b", before).agg(
+        F.countDistinct("feature").alias("features"),
+        F.count_if(F.col("_b") < F.col("importance")).alias("out_of_order"),
+        F.round(F.sum("importance"), 6).alias("total"),
+    )
