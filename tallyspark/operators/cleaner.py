@@ -46,3 +46,22 @@ def cleaning_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.agg(F.count(F.lit(1)).alias("rows_out")).select(
         rows_in.alias("rows_in"), "rows_out", (rows_in - F.col("rows_out")).alias("rows_removed")
     )
+
+
+def removed_by_kind(df: DataFrame, as_of: Column) -> DataFrame:
+    """(step, rows_left, rows_removed) of the row-dropping steps, counted while the rows flow through all of them once."""
+    steps = {
+        "rows in": lambda d: d,
+        "empty": cleaning.drop_empty_rows,
+        "repeated": lambda d: d.dropDuplicates(),
+        "zero": cleaning.drop_zero_rows,
+        "impossible time": lambda d: cleaning.drop_impossible_times(d, as_of),
+    }
+    watches = {}
+    for name, step in steps.items():
+        df, watches[name] = cleaning.observed(step(df), name)
+    df.write.format("noop").mode("overwrite").save()
+    left = [(name, int(watch.get["rows"])) for name, watch in watches.items()]
+    rows = [(name, n, before - n) for (name, n), before in zip(left, [left[0][1], *[n for _, n in left]])]
+    return df.sparkSession.createDataFrame(rows, "step string, rows_left long, rows_removed long")
+

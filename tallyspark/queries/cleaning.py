@@ -441,8 +441,6 @@ def _cleaned(spark, folder):
         ORDER,
         F.lit(EVENTS_AS_OF).cast("timestamp_ntz"),
         target="amount",
-        formats={},
-        outlier_columns=["amount"],
     )
 
 
@@ -489,3 +487,17 @@ SELECT rows_in, rows_out, rows_in - rows_out AS rows_removed FROM n
 def cleaning_counts(spark, folder):
     dirty = _dirty(spark, folder)
     return cleaner.cleaning_counts(dirty, cleaning.basic_cleaning(dirty))
+
+
+@query(
+    "A18 P1 P3 P5 P13",
+    views="readings",
+    sql=f"""
+WITH n AS (SELECT count(*) AS a, count(*) FILTER (id % 10 = 3) AS twice, count(*) FILTER (key = 0 AND id = 0 AND value = 0) AS z,
+  count(*) FILTER (NOT (key = 0 AND id = 0 AND coalesce(value, 1) = 0) AND CASE WHEN id % 97 = 0 THEN ts + INTERVAL 10 YEAR ELSE ts END > TIMESTAMP '{EVENTS_AS_OF}') AS odd FROM readings)
+SELECT 'rows in' AS step, a + twice AS rows_left, 0::BIGINT AS rows_removed FROM n UNION ALL SELECT 'empty', a + twice, 0 FROM n
+UNION ALL SELECT 'repeated', a, twice FROM n UNION ALL SELECT 'zero', a - z, z FROM n UNION ALL SELECT 'impossible time', a - z - odd, odd FROM n
+""",
+)
+def removed_by_kind(spark, folder):
+    return cleaner.removed_by_kind(_dirty(spark, folder).drop("Empty"), F.lit(EVENTS_AS_OF).cast("timestamp_ntz"))

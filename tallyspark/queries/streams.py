@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tallyspark.operators import folds, security
@@ -296,3 +298,21 @@ def streamed_login_risk(spark, folder):
     schema = spark.read.parquet(path).schema
     stream = ingest.file_stream(spark, path, "*.parquet", schema)
     return _finished(spark, state.login_risk(stream), "risk")
+
+
+@query(
+    "S25",
+    sql=f"""
+SELECT strftime(ts, '%Y-%m-%d-%H') AS hour, count(*) AS n FROM events
+WHERE date_trunc('hour', ts) >= date_trunc('hour', TIMESTAMP '{views.EVENTS_AS_OF}') - INTERVAL 240 HOUR GROUP BY 1
+""",
+)
+def retained_hours(spark, folder):
+    """Events stored by hour in two batches, after the retention job has dropped expired hours."""
+    path = fresh_dir(spark, "hours")
+    events = table(spark, folder, "events").select("event_id", "ts")
+    write = ingest.hourly(path, "ts")
+    write(events.filter("event_id % 2 = 0"), 0)
+    write(events.filter("event_id % 2 = 1"), 1)
+    ingest.drop_expired(spark, path, datetime.fromisoformat(views.EVENTS_AS_OF), 240)
+    return spark.read.parquet(path).groupBy(F.col("hour").cast("string").alias("hour")).agg(F.count("*").alias("n"))

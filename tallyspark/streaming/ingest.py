@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,3 +182,20 @@ def kept_hours(rows: DataFrame, as_of: Column, hours: int = RESULT_HOURS) -> Dat
 
 def newest(rows: DataFrame, ts: str, tie: str, size: int = KEPT_RESULTS) -> DataFrame:
     return rows.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(size)
+
+
+def drop_expired(spark: SparkSession, path: str, as_of: datetime, hours: int = RESULT_HOURS) -> list[str]:
+    """Deletes the hour partitions under the batch folders of ``hourly`` that are older than the life.
+
+    Returns their names. Only folder names are listed; no data is read.
+    """
+    oldest = f"hour={as_of - timedelta(hours=hours):%Y-%m-%d-%H}"
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = []
+    for batch in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/hour=*")):
+        if batch.getPath().getName() < oldest:
+            files.delete(batch.getPath(), True)
+            gone.append(batch.getPath().getName())
+    return sorted(gone)
