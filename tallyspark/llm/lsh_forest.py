@@ -11,7 +11,7 @@ splits a crowded region at any place; the few rows at partition borders are pair
 A pair of similarity s agrees in the three first hashes of some tree with probability 1 - (1 - s^3)^24, 0.999998 at 0.75.
 Pairs whose sketches agree in less than ``ROUGH`` of the hashes are dropped (0.75 is 4.9 standard deviations above it).
 The others are confirmed on full sets until no unconfirmed pair lies between two components: first one pair per class,
-then from both ends of crossing pairs to hubs of the other end's component (see ``_to_hubs``), then all that still cross.
+then one per component, then from both ends of crossing pairs to hubs of the other end's component (see ``_to_hubs``), then all that still cross.
 Pairs inside a component cannot change it and aren't confirmed.
 
 Null or empty texts have no shingles and are linked with nothing. Rows with one id are one document. A null id is linked
@@ -35,9 +35,9 @@ from tallyspark.sources.tables import spread
 SHINGLE = 5
 SIMILAR = 75  # per cent
 TREES, FIRST, DEPTH, REACH = 24, 3, 9, 8
-CROWD, CLOSE = 12, 2
+CROWD, CLOSE = 24, 3
 ROUGH, LIKELY = 0.5, 0.85
-HUBS = 4
+HUBS = 64
 PART_ROWS = 100_000  # rows of small tables (pairs, links, labels) that go to one task
 HASHES = TREES * FIRST
 _RANDOM = np.random.default_rng(71)
@@ -221,14 +221,13 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two steps until every id points to a root and nowhere else: every id hands its smallest neighbour to its
     larger neighbours, then to its smaller ones. Distances halve, so rounds grow with the logarithm of the longest path.
     """
-    edges, parts = _few(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = _few(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() or _two_ways(edges):
-        ways = edges.union(edges.select("v", "u"))
+        ways = _together(edges, edges.select("v", "u"))
         least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges, parts = _few(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").coalesce(parts).distinct())
+        large = ways.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        edges = _few(_together(small.select(F.col("v").alias("u"), F.col("m").alias("v")), small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
 
 
@@ -237,41 +236,46 @@ def _two_ways(edges: DataFrame) -> bool:
     return not edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
-def _few(df: DataFrame) -> tuple[DataFrame, int]:
-    """A checkpointed table in as few partitions as its rows need, and their number."""
+def _few(df: DataFrame) -> DataFrame:
+    """A checkpointed table in as few partitions as its rows need; one partition joins and groups without an exchange."""
     kept = cut(df)
-    parts = max(1, -(-kept.count() // PART_ROWS))
-    return kept.coalesce(parts), parts
+    return kept.coalesce(max(1, -(-kept.count() // PART_ROWS)))
+
+
+def _together(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Their union; of two single partitions one."""
+    both = one.union(other)
+    return both.coalesce(1) if one.rdd.getNumPartitions() == other.rdd.getNumPartitions() == 1 else both
 
 
 def links(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``label`` of all classes that are linked, from ``docs`` and its classes (``id, signature``)."""
     sketches = cut(_sketches(classes))
-    pairs, _ = _few(_alike(candidates(classes), sketches))
+    pairs = _few(_alike(candidates(classes), sketches))
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = cut(_sets(docs.select(id, text).join(needed.toDF(id), id, "left_semi"), id, text))
     labels = None
     open_pairs = pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"), "share")
-    for way in ("each", "hubs", "all"):
+    for way in ("each", "each", "hubs", "all"):
         if way == "hubs":
             tried = _to_hubs(open_pairs, pairs, labels, sketches)
         else:
             tried = (_one_each(open_pairs) if way == "each" else open_pairs).select("a", "b", "la", "lb")
-        tried, _ = _few(tried)
-        found = _confirmed(tried.select("a", "b"), sets)
+        tried = _few(tried)
+        found = _few(_confirmed(tried.select("a", "b"), sets))
         merged = components(found.join(tried, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
         if labels is None:
             labels = merged
         else:
             moved = labels.join(merged.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-            labels, _ = _few(moved.union(merged.join(labels.select("id"), "id", "left_anti")))
+            labels = _few(_together(moved, merged.join(labels.select("id"), "id", "left_anti")))
         if way == "all":
             break
         at = labels.toDF("x", "to")
         crossing = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         crossing = crossing.join(at, F.col("a") == F.col("x"), "left").withColumn("la", F.coalesce("to", "a")).drop("x", "to")
         crossing = crossing.join(at, F.col("b") == F.col("x"), "left").withColumn("lb", F.coalesce("to", "b")).drop("x", "to")
-        open_pairs, _ = _few(crossing.filter("la <> lb").select("a", "b", "la", "lb", "share"))
+        open_pairs = _few(crossing.filter("la <> lb").select("a", "b", "la", "lb", "share"))
         if open_pairs.isEmpty():
             break
     return labels
@@ -284,20 +288,20 @@ def _to_hubs(open_pairs: DataFrame, pairs: DataFrame, labels: DataFrame, sketche
     out may be alike to that text only, and have other variants for neighbours in every order.
     """
     alike = F.col("share") - ROUGH
-    weight = pairs.select(F.col("a").alias("id"), alike.alias("w")).union(pairs.select("b", alike)).groupBy("id").agg(F.sum("w").alias("w"))
+    weight = _together(pairs.select(F.col("a").alias("id"), alike.alias("w")), pairs.select("b", alike)).groupBy("id").agg(F.sum("w").alias("w"))
     weight = weight.join(labels, "id", "left").select("id", "w", F.coalesce("label", "id").alias("l"))
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("w"), "id"))
     hubs = weight.withColumn("n", place).filter(f"n <= {HUBS}").select("l", F.col("id").alias("hub"))
-    ends = open_pairs.select(F.col("a").alias("x"), F.col("la").alias("lx"), F.col("lb").alias("l")).union(open_pairs.select("b", "lb", "la")).distinct()
+    ends = _together(open_pairs.select(F.col("a").alias("x"), F.col("la").alias("lx"), F.col("lb").alias("l")), open_pairs.select("b", "lb", "la")).distinct()
     met = ends.join(hubs, "l").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"), F.when(F.col("x") < F.col("hub"), F.col("lx")).otherwise(F.col("l")).alias("la"), F.when(F.col("x") < F.col("hub"), F.col("l")).otherwise(F.col("lx")).alias("lb")).distinct()
-    met, _ = _few(met)
+    met = _few(met)
     return met.join(_alike(met.select("a", "b"), sketches).select("a", "b"), ["a", "b"])
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
     """For each component one pair: to the smallest other component if they look alike, else the most alike."""
     choice = F.struct((F.col("share") < LIKELY).alias("far"), F.when(F.col("share") < LIKELY, 1 - F.col("share")).otherwise(0).alias("off"), F.least("la", "lb").alias("l"), "a", "b")
-    sides = pairs.select(F.col("la").alias("own"), choice.alias("c")).union(pairs.select("lb", choice))
+    sides = _together(pairs.select(F.col("la").alias("own"), choice.alias("c")), pairs.select("lb", choice))
     best = sides.groupBy("own").agg(F.min("c").alias("c"))
     return best.select("c.a", "c.b").distinct().join(pairs, ["a", "b"])
 
