@@ -5,7 +5,7 @@ white space, line breaks, kinds of marks), and measures its words: length, disti
 ones inside a four-word run that stands more than once in the document. A learned layer turns it into ``h``; gated attention
 ``softmax(w . (tanh(V h) * sigmoid(U h)))`` over the document's passages weighs them into one vector, and a logistic unit
 scores that. All of it is learned from document labels by gradient descent on a bounded sample: the first ``SAMPLE_DOCS``
-labelled documents per class by a hash of the key, of at most ``SAMPLE_CHARS`` characters.
+labelled documents per class by a hash of the key, without those of more than ``SAMPLE_CHARS`` characters.
 
 Scoring reads every text whole, all its passages. A null or empty text is one empty passage. Without labels of both classes
 all scores are 0.5. Each row is scored by itself; an empty table gives no rows.
@@ -18,9 +18,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm import labelled
 from tallyspark.llm.arrays import mix, running, slices, words
 from tallyspark.sources.tables import spread
 
@@ -73,6 +74,8 @@ def encode(data: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                 run[j : len(word) - 3 + j] |= twice
         extra = [bytes_of / size / 8, distinct / size, np.bincount(passage, again, total) / size, np.bincount(passage, run, total) / size, np.log1p(size), np.log1p(np.repeat(n, count)) / 4]
         out[:, KINDS * KINDS :] = np.stack(extra, 1)
+    else:
+        out[:, KINDS * KINDS + 4] = np.log1p(size)  # what an empty text has among others, too
     return out, first
 
 
@@ -142,11 +145,8 @@ def learn_weights(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 5
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Learns from the documents that ``learn`` names. The driver gets the encodings of the bounded sample."""
-    known = labels.filter(F.col(label).isin(0, 1)).groupBy(id).agg(F.max(label).cast("int").alias("y"))
-    rows = docs.filter(learn).select(id, F.col(text).cast("string").alias("text")).join(known, id)
-    rows = rows.filter(F.char_length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS)
-    first = Window.partitionBy("y").orderBy(F.xxhash64(id), id, "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= SAMPLE_DOCS).select("y", "text")
+    rows = labelled.sample(docs, labels, learn, SAMPLE_DOCS, id, text, label)
+    sample = rows.filter(F.char_length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, texts in slices(batches, "text"):

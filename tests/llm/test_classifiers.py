@@ -8,7 +8,6 @@ from tallyspark.llm import language_id, quality_mil, toxicity
 from tallyspark.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
-NOT_HELD = F.lit(True)
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +47,7 @@ ODD = [(1, None), (2, ""), (3, " 12 !? "), (4, "x"), (4, "x"), (None, "the same
 
 def test_language_edges(spark, make_docs):
     docs = make_docs([(i, "the cat sat on the mat with another cat " * 3, "en") for i in range(9)] + [(i + 20, "der hund und die katze sind nicht hier gewesen " * 3, "de") for i in range(9)], extra=("score",))
-    contents = language_id.fit(docs, NOT_HELD)
+    contents = language_id.fit(docs, F.lit(True))
     assert sorted(contents) == ["de", "en"]
     odd = make_docs([*ODD, (7, "THE CAT sat on the mat"), (8, "die katze und der hund")], extra=("lang_pred", "margin"))
     rows = language_id.predict(odd, contents).collect()
@@ -57,7 +56,7 @@ def test_language_edges(spark, make_docs):
     assert [by[i].lang_pred for i in (1, 2, 3, 7, 8)] == ["und", "und", "und", "en", "de"] and by[1].rejected and by[1].score == 0
     assert not by[7].rejected and not by[8].rejected
     assert language_id.predict(make_docs([]), contents).count() == 0
-    nothing = language_id.fit(make_docs([(1, "text", None), (2, None, "en")]), NOT_HELD)
+    nothing = language_id.fit(make_docs([(1, "text", None), (2, None, "en")]), F.lit(True))
     assert nothing == {} and {r.lang_pred for r in language_id.predict(odd, nothing).collect()} == {"und"}
     one = language_id.predict(odd, {"en": contents["en"]}).collect()
     assert {r.lang_pred for r in one} == {"en", "und"}
@@ -69,13 +68,13 @@ def test_toxicity_edges(spark, make_docs):
     text = lambda bad: " ".join([*rnd.choice(vocabulary, 30), *(["abominable"] * bad), *rnd.choice(vocabulary, 30)])
     docs = make_docs([(i, text(i % 2)) for i in range(200)], extra=("y", "k", "n"))
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)] + [(999, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs, labels, NOT_HELD)
+    model = toxicity.fit(docs, labels, F.lit(True))
     assert b"abominable" in model.toxic and b"abominable" not in model.ordinary
     odd = make_docs([*ODD, (7, text(1)), (8, text(0))], extra=("evidence", "score"))
     by = {r.doc_id: r.score for r in toxicity.predict(odd, model).collect()}
     assert len(by) == 8 and by[7] >= toxicity.AT and all(v < toxicity.AT for i, v in by.items() if i != 7)
     assert toxicity.predict(make_docs([]), model).count() == 0
-    none = toxicity.fit(docs, labels.filter("toxic = 0"), NOT_HELD)
+    none = toxicity.fit(docs, labels.filter("toxic = 0"), F.lit(True))
     assert {r.score for r in toxicity.predict(odd, none).collect()} == {0.0}
 
 
@@ -85,14 +84,14 @@ def test_quality_edges(spark, make_docs):
     junk = lambda: " | ".join(rnd.choice(["BUY", "###", "$$$", "NOW!!"], 90))
     docs = make_docs([(i, good() if i % 2 else junk()) for i in range(120)], extra=("y", "n", "x"))
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)] + [(999, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int")
-    model = quality_mil.fit(docs, labels, NOT_HELD)
+    model = quality_mil.fit(docs, labels, F.lit(True))
     odd = make_docs([*ODD, (7, good()), (8, junk()), (9, junk() + "\n" + good())], extra=("score", "n_passages"))
     rows = quality_mil.predict(odd, model).collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == len(ODD) + 3 and all(0 <= r.score <= 1 for r in rows)
     assert by[7].score > 0.5 > by[8].score and by[1].n_passages == 1 and by[5].n_passages == -(-60_000 // 64)
     assert quality_mil.predict(make_docs([]), model).count() == 0
-    none = quality_mil.fit(docs, labels.filter("quality = 1"), NOT_HELD)
+    none = quality_mil.fit(docs, labels.filter("quality = 1"), F.lit(True))
     assert {r.score for r in quality_mil.predict(odd, none).collect()} == {0.5}
 
 
