@@ -110,6 +110,23 @@ def test_equal_points_take_the_smallest_keys(spark):
     assert [r.neighbour for r in near.filter("key = 2").orderBy("rank").collect()] == [0, 1, 3, 4, 5]
 
 
+def test_neighbours_of_clusters_visit_few_blocks(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 3)) * 100
+    points = np.concatenate([c + rng.normal(size=(60, 3)) for c in centres])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, f array<double>")
+    got = {(r.key, r.rank): r.neighbour for r in neighbours.nearest(df, "id", "f", 4, block_rows=20).collect()}
+    d = np.sqrt(((points[:, None] - points) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, n + 1): j for i in range(len(points)) for n, j in enumerate(np.lexsort((np.arange(len(points)), d[i]))[:4])}
+    rows, cells = neighbours._in_cells(df.toDF("key", "f"), 20)
+    own = rows.groupBy("block").applyInPandas(lambda part: neighbours._best(part, part, 4), neighbours.FOUND)
+    blocks = rows.select("block").distinct().count()
+    visited = neighbours.further_blocks(rows, own, cells, 4).select("l", "r").distinct().count()
+    assert blocks >= 20 and visited < blocks * (blocks - 1) / 3
+    assert neighbours.nearest(df.limit(0), "id", "f").count() == 0
+
+
 def test_small_table_keeps_the_score_column(spark):
     out = iforest.isolation_flags(spark.createDataFrame([(1, 2.0)], "id long, V1 double"), ["V1"], "id")
     assert out.columns == ["id", "V1", "iso_score", "isolated"] and out.first().iso_score is None
