@@ -11,8 +11,8 @@ splits a crowded region at any place; the few rows at partition borders are pair
 A pair of similarity s agrees in the three first hashes of some tree with probability 1 - (1 - s^3)^24, 0.999998 at 0.75.
 Pairs whose sketches agree in less than ``ROUGH`` of the hashes are dropped (0.75 is 4.9 standard deviations above it).
 The others are confirmed on full sets until no unconfirmed pair lies between two components: first one pair per class,
-then one per component, then from both ends of crossing pairs to hubs of the other end's component (see ``_to_hubs``), then all that still cross.
-Pairs inside a component cannot change it and aren't confirmed.
+then one per component, then from both ends of crossing pairs to one and to more hubs of the other end's component (see
+``_to_hubs``), then all that still cross. Pairs inside a component cannot change it and aren't confirmed.
 
 Null or empty texts have no shingles and are linked with nothing. Rows with one id are one document. A null id is linked
 with nothing, its component is null and it is kept. An empty table gives no rows.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.arrays import mix, slices, words
@@ -36,8 +36,8 @@ SHINGLE = 5
 SIMILAR = 75  # per cent
 TREES, FIRST, DEPTH, REACH = 24, 3, 9, 8
 CROWD, CLOSE = 24, 3
-ROUGH, LIKELY = 0.5, 0.85
-HUBS = 64
+ROUGH = 0.5
+HUBS = 32
 PART_ROWS = 100_000  # rows of small tables (pairs, links, labels) that go to one task
 HASHES = TREES * FIRST
 _RANDOM = np.random.default_rng(71)
@@ -255,10 +255,14 @@ def links(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = cut(_sets(docs.select(id, text).join(needed.toDF(id), id, "left_semi"), id, text))
     labels = None
+    weight = _few(_weights(pairs))
     open_pairs = pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb"), "share")
-    for way in ("each", "each", "hubs", "all"):
-        if way == "hubs":
-            tried = _to_hubs(open_pairs, pairs, labels, sketches)
+    for end in "ab":
+        open_pairs = open_pairs.join(weight.toDF(end, f"w{end}"), end, "left")
+    open_pairs = _few(open_pairs)
+    for way in ("each", "each", "hub", "hubs", "all"):
+        if way in ("hub", "hubs"):
+            tried = _to_hubs(open_pairs, weight, labels, sketches, 1 if way == "hub" else HUBS)
         else:
             tried = (_one_each(open_pairs) if way == "each" else open_pairs).select("a", "b", "la", "lb")
         tried = _few(tried)
@@ -275,33 +279,42 @@ def links(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "
         crossing = open_pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         crossing = crossing.join(at, F.col("a") == F.col("x"), "left").withColumn("la", F.coalesce("to", "a")).drop("x", "to")
         crossing = crossing.join(at, F.col("b") == F.col("x"), "left").withColumn("lb", F.coalesce("to", "b")).drop("x", "to")
-        open_pairs = _few(crossing.filter("la <> lb").select("a", "b", "la", "lb", "share"))
+        open_pairs = _few(crossing.filter("la <> lb").select("a", "b", "la", "lb", "share", "wa", "wb"))
         if open_pairs.isEmpty():
             break
     return labels
 
 
-def _to_hubs(open_pairs: DataFrame, pairs: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+def _weights(pairs: DataFrame) -> DataFrame:
+    """``id, w``: how much an id is like those it was paired with; the text behind a crowd of variants has the most."""
+    alike = F.col("share") - ROUGH
+    return _together(pairs.select(F.col("a").alias("id"), alike.alias("w")), pairs.select("b", alike)).groupBy("id").agg(F.sum("w").alias("w"))
+
+
+def _to_hubs(open_pairs: DataFrame, weight: DataFrame, labels: DataFrame, sketches: DataFrame, count: int) -> DataFrame:
     """Each end of an open pair with the hubs of the other end's component, as ``a, b, la, lb``.
 
-    Hubs are the members most like the others they were paired with. In a crowd of variants of one text, a variant far
+    Hubs are the members of most weight. In a crowd of variants of one text, a variant far
     out may be alike to that text only, and have other variants for neighbours in every order.
     """
-    alike = F.col("share") - ROUGH
-    weight = _together(pairs.select(F.col("a").alias("id"), alike.alias("w")), pairs.select("b", alike)).groupBy("id").agg(F.sum("w").alias("w"))
     weight = weight.join(labels, "id", "left").select("id", "w", F.coalesce("label", "id").alias("l"))
     place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("w"), "id"))
-    hubs = weight.withColumn("n", place).filter(f"n <= {HUBS}").select("l", F.col("id").alias("hub"))
+    hubs = weight.withColumn("n", place).filter(F.col("n") <= count).select("l", F.col("id").alias("hub"))
     ends = _together(open_pairs.select(F.col("a").alias("x"), F.col("la").alias("lx"), F.col("lb").alias("l")), open_pairs.select("b", "lb", "la")).distinct()
     met = ends.join(hubs, "l").select(F.least("x", "hub").alias("a"), F.greatest("x", "hub").alias("b"), F.when(F.col("x") < F.col("hub"), F.col("lx")).otherwise(F.col("l")).alias("la"), F.when(F.col("x") < F.col("hub"), F.col("l")).otherwise(F.col("lx")).alias("lb")).distinct()
+    if count == 1:
+        return met
     met = _few(met)
     return met.join(_alike(met.select("a", "b"), sketches).select("a", "b"), ["a", "b"])
 
 
 def _one_each(pairs: DataFrame) -> DataFrame:
-    """For each component one pair: to the smallest other component if they look alike, else the most alike."""
-    choice = F.struct((F.col("share") < LIKELY).alias("far"), F.when(F.col("share") < LIKELY, 1 - F.col("share")).otherwise(0).alias("off"), F.least("la", "lb").alias("l"), "a", "b")
-    sides = _together(pairs.select(F.col("la").alias("own"), choice.alias("c")), pairs.select("lb", choice))
+    """For each component one pair: the one whose other end has the most weight, of equals the most alike."""
+
+    def choice(other: str) -> Column:
+        return F.struct((-F.col(other)).alias("w"), (1 - F.col("share")).alias("off"), "a", "b").alias("c")
+
+    sides = _together(pairs.select(F.col("la").alias("own"), choice("wb")), pairs.select("lb", choice("wa")))
     best = sides.groupBy("own").agg(F.min("c").alias("c"))
     return best.select("c.a", "c.b").distinct().join(pairs, ["a", "b"])
 
