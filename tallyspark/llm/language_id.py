@@ -23,6 +23,7 @@ from tallyspark.sources.tables import spread
 
 SAMPLE_DOCS, SAMPLE_CHARS = 48, 6000
 WINDOW = 512
+PART = 256  # rows whose texts are Python strings at once
 NARROW = 0.005
 SURE = 0.04  # margin at which the score is 1 - 1/e
 
@@ -51,7 +52,7 @@ def predict(docs: DataFrame, contents: dict[str, bytes], id: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionaries = [Dictionary(contents[n]) for n in names]
-        for batch in batches:
+        for batch in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
             best, margin = [], []
             for whole in batch.column(1).to_pylist():
                 plain = letters(whole).encode()
