@@ -14,7 +14,14 @@ The others are confirmed on full sets until no unconfirmed pair lies between two
 then one per component, then from both ends of crossing pairs to one and to more hubs of the other end's component (see
 ``_to_hubs``), then all that still cross. Pairs inside a component cannot change it and aren't confirmed.
 
-Null or empty texts have no shingles and are linked with nothing. Rows with one id are one document. A null id is linked
+Pairs further apart in an order than the next neighbours are left to a last step (see ``_crowd_links``): in each region with
+more classes than neighbours reach, all pairs of classes that agree in three hashes and are still in different components
+are compared on full sets. So a linked pair is found with the same probability in a crowd and outside; the steps before
+only make the components that need not be compared inside. That work grows with the members outside a region's largest
+component times its members; it is dealt out in blocks of ``BLOCK`` shingles.
+
+Null or empty texts have no shingles and are linked with nothing. Rows with one id are one document, whichever of their
+texts is linked. A null id is linked
 with nothing, its component is null and it is kept. An empty table gives no rows.
 """
 
@@ -38,6 +45,7 @@ TREES, FIRST, DEPTH, REACH = 24, 3, 9, 8
 CROWD, CLOSE = 24, 3
 ROUGH = 0.5
 HUBS = 32
+BLOCK, LEAST = 2**18, 128  # shingles of one side of a comparison of crowded classes; what a small class counts there
 PART_ROWS = 100_000  # rows of small tables (pairs, links, labels) that go to one task
 HASHES = TREES * FIRST
 _RANDOM = np.random.default_rng(71)
@@ -103,6 +111,12 @@ def _next_neighbours(ids: np.ndarray, tree: np.ndarray, order: np.ndarray) -> It
         yield ids[near], ids[near + step]
 
 
+def _crowded(tree: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of rows whose first hashes agree with those of a row that is out of their reach."""
+    step = REACH + 1
+    return np.flatnonzero((tree[step:] == tree[:-step]) & (order[step:, : 4 * FIRST] == order[:-step, : 4 * FIRST]).all(1))
+
+
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 4 * DEPTH)
     return batch.column(0).to_numpy(), batch.column(1).to_numpy(), order
@@ -112,9 +126,15 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs ``a < b`` of neighbours in any tree, from ``id`` and ``signature``."""
-    turns = [F.concat(*[F.substring("signature", 4 * ((FIRST * t + j) % HASHES) + 1, 4 * FIRST) for j in range(0, DEPTH, FIRST)]) for t in range(TREES)]
+def _first(t: int, j: int = 0) -> Column:
+    """``FIRST`` hashes from place ``j`` of tree t's order on."""
+    return F.substring("signature", 4 * ((FIRST * t + j) % HASHES) + 1, 4 * FIRST)
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``a < b`` of neighbours in any tree, from ``id`` and ``signature``, and the regions ``tree, head`` that
+    hold more classes than neighbours reach."""
+    turns = [F.concat(*[_first(t, j) for j in range(0, DEPTH, FIRST)]) for t in range(TREES)]
     rows = classes.select("id", F.posexplode(F.array(*turns)).alias("tree", "order"))
     ordered = rows.repartitionByRange("tree", "order", "id").sortWithinPartitions("tree", "order", "id")
 
@@ -135,11 +155,12 @@ def candidates(classes: DataFrame) -> DataFrame:
                 a, b = _pairs(np.concatenate(a), np.concatenate(b))
                 both = np.unique(np.stack([a, b], 1), axis=0)
                 yield _rows(both[:, 0], both[:, 1])
-            if head < REACH:  # the first rows of the partition
-                size = min(REACH - head, len(ids) - known)
+            yield _heads(tree, order)
+            if head <= REACH:  # the first rows of the partition
+                size = min(REACH + 1 - head, len(ids) - known)
                 yield _rows(ids[known : known + size], None, tree[known : known + size], order[known : known + size])
                 head += size
-            held = tuple(x[-REACH:] for x in (ids, tree, order))
+            held = tuple(x[-REACH - 1 :] for x in (ids, tree, order))
         if held is not None:
             yield _rows(held[0], None, held[1], held[2])
 
@@ -148,20 +169,31 @@ def candidates(classes: DataFrame) -> DataFrame:
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_columns(batch) for batch in batches if batch.num_rows]
         if parts:
-            for x, y in _next_neighbours(*(np.concatenate(c) for c in zip(*parts))):
-                a, b = _pairs(x, y)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            ids, tree, order = (np.concatenate(c) for c in zip(*parts))
+            for x, y in _next_neighbours(ids, tree, order):
+                yield _rows(*_pairs(x, y))
+            yield _heads(tree, order)
+
+    # at most 2 * REACH + 2 rows per partition, so one task: pairs across one border or several short partitions
+    borders = found.filter("a IS NOT NULL AND b IS NULL").select("a", "tree", "order").distinct().coalesce(1).sortWithinPartitions("tree", "order", "a")
+    whole = found.union(cut(borders.mapInArrow(across, "a long, b long, tree int, order binary")))
+    return whole.filter("b IS NOT NULL").select("a", "b").distinct(), whole.filter("a IS NULL").select("tree", F.col("order").alias("head")).distinct()
 
-    # at most 2 * REACH rows per partition, so one task: pairs across one border or several short partitions
-    borders = found.filter("b IS NULL").select("a", "tree", "order").distinct().coalesce(1).sortWithinPartitions("tree", "order", "a")
-    return found.filter("b IS NOT NULL").select("a", "b").union(borders.mapInArrow(across, "a long, b long")).distinct()
 
+def _heads(tree: np.ndarray, order: np.ndarray) -> pa.RecordBatch:
+    """Rows without ids: the first hashes of crowded regions, once each."""
+    at = _crowded(tree, order)
+    tree, order = tree[at], np.ascontiguousarray(order[at, : 4 * FIRST])
+    new = np.ones(len(at), bool)
+    new[1:] = (tree[1:] != tree[:-1]) | (order[1:] != order[:-1]).any(1)
+    return _rows(None, None, tree[new], order[new])
 
-def _rows(a: np.ndarray, b: np.ndarray | None, tree: np.ndarray | None = None, order: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(a)
+
+def _rows(a: np.ndarray | None, b: np.ndarray | None, tree: np.ndarray | None = None, order: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(tree if a is None else a)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(a),
+            pa.nulls(n, pa.int64()) if a is None else pa.array(a),
             pa.nulls(n, pa.int64()) if b is None else pa.array(b),
             pa.nulls(n, pa.int32()) if tree is None else pa.array(tree),
             pa.nulls(n, pa.binary()) if order is None else pa.array([x.tobytes() for x in order], pa.binary()),
@@ -251,8 +283,10 @@ def _together(one: DataFrame, other: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id`` and ``label`` of all classes that are linked, from ``docs`` and its classes (``id, signature``)."""
     sketches = cut(_sketches(classes))
-    pairs = _few(_alike(candidates(classes), sketches))
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    near, heads = candidates(classes)
+    pairs = _few(_alike(near, sketches))
+    crowd = _few(_members(classes, _few(heads)))
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id")).distinct()
     sets = cut(_sets(docs.select(id, text).join(needed.toDF(id), id, "left_semi"), id, text))
     labels = None
     weight = _few(_weights(pairs))
@@ -268,11 +302,7 @@ def links(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "
         tried = _few(tried)
         found = _few(_confirmed(tried.select("a", "b"), sets))
         merged = components(found.join(tried, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        if labels is None:
-            labels = merged
-        else:
-            moved = labels.join(merged.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-            labels = _few(_together(moved, merged.join(labels.select("id"), "id", "left_anti")))
+        labels = merged if labels is None else _moved(labels, merged)
         if way == "all":
             break
         at = labels.toDF("x", "to")
@@ -282,7 +312,91 @@ def links(docs: DataFrame, classes: DataFrame, id: str = "doc_id", text: str = "
         open_pairs = _few(crossing.filter("la <> lb").select("a", "b", "la", "lb", "share", "wa", "wb"))
         if open_pairs.isEmpty():
             break
-    return labels
+    if crowd.isEmpty():
+        return labels
+    return _moved(labels, components(_crowd_links(crowd, labels, sets)))
+
+
+def _moved(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """``labels`` after components of them (``merged``: ids and labels of components) became one."""
+    moved = labels.join(merged.toDF("label", "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return _few(_together(moved, merged.join(labels.select("id"), "id", "left_anti")))
+
+
+def _members(classes: DataFrame, heads: DataFrame) -> DataFrame:
+    """``id, tree, head`` of the classes in the regions ``heads``."""
+    rows = classes.select("id", F.posexplode(F.array(*[_first(t) for t in range(TREES)])).alias("tree", "head"))
+    return rows.join(F.broadcast(heads) if heads.count() <= PART_ROWS else heads, ["tree", "head"]).select("id", "tree", "head")
+
+
+def _crowd_links(crowd: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the components of alike members of one region.
+
+    The members of a region's largest component meet all others, and these each other. Both are dealt out in blocks
+    by a hash of the id: a key is a block of others with a block of either. Alike regions of several trees are one region.
+    """
+    size = sets.select("id", F.greatest(F.expr("octet_length(set) div 8"), F.lit(LEAST)).alias("size")).groupBy("id").agg(F.sum("size").alias("size"))
+    region = crowd.select("id", F.xxhash64("tree", "head").alias("region")).distinct().join(labels, "id", "left").join(size, "id")
+    region = _few(region.select("id", "region", F.coalesce("label", "id").alias("label"), "size"))
+    by = region.groupBy("region", "label").agg(F.sum("size").alias("size"))
+    blocks = F.ceil((F.sum("size") - F.max("size")) / BLOCK).cast("int"), F.ceil(F.max("size") / BLOCK).cast("int")
+    regions = by.groupBy("region").agg(F.max(F.struct("size", "label")).alias("most"), blocks[0].alias("others"), blocks[1].alias("mains"))
+    regions = _few(regions.filter("others > 0").select("region", F.col("most.label").alias("main"), "others", "mains"))
+    rows = region.join(regions, "region").withColumn("h", F.xxhash64("id", F.lit(3)))
+    one = rows.filter("label = main").select("id", "region", "label", F.expr("pmod(h, mains)").alias("b"), F.explode(F.expr("sequence(0L, others - 1L)")).alias("i"))
+    main = one.select("id", "label", F.xxhash64("region", "i", F.lit("main"), "b").alias("key"), F.lit(False).alias("other"))
+    rest = rows.filter("label <> main").select("id", "region", "label", "others", "mains", F.expr("pmod(h, others)").alias("i"))
+    asked = rest.select("id", "label", F.explode(F.expr("transform(sequence(0L, mains - 1L), b -> xxhash64(region, i, 'main', b))")).alias("key"), F.lit(True).alias("other"))
+    both = rest.select("id", "label", F.explode(F.expr("transform(sequence(0L, others - 1L), j -> xxhash64(region, least(i, j), 'other', greatest(i, j)))")).alias("key"), F.lit(True).alias("other"))
+    main = main.select("id", "label", "key", "other")
+    dealt = main.union(asked).union(both).join(sets, "id").select("key", "other", "label", "set")
+
+    def run(group: pa.Table) -> pa.Table:
+        other = group.column("other").to_numpy()
+        label = group.column("label").to_numpy()
+        own = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        x = np.flatnonzero(other)
+        y = x if other.all() else np.flatnonzero(~other)
+        a, b = _linked([own[i] for i in x], [own[i] for i in y], label[x], label[y])
+        return pa.table({"a": a, "b": b})
+
+    return cut(dealt.groupBy("key").applyInArrow(run, "a long, b long").distinct())
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray], of_x: np.ndarray, of_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different labels that have similar sets, one of each side: each label with the root of its component."""
+    common = np.zeros((len(x), len(y)), np.float32)  # exact up to 2**24 shingles
+    flat = [np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (x, y)]
+    shared = np.intersect1d(*flat)
+    sides = []
+    for sets, values in zip((x, y), flat):
+        row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(shared, values)
+        met = at < len(shared)
+        met[met] = shared[at[met]] == values[met]
+        row, at = row[met], at[met]
+        turn = np.argsort(at, kind="stable")
+        sides.append((row[turn], at[turn], len(sets)))
+    width = max(64, 2**22 // max(1, len(x) + len(y)))  # columns at once
+    for start in range(0, len(shared), width):
+        parts = []
+        for row, at, n in sides:
+            lo, hi = np.searchsorted(at, [start, start + width])
+            part = np.zeros((n, min(width, len(shared) - start)), np.float32)
+            part[row[lo:hi], at[lo:hi] - start] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    many = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])
+    alike = (common > 0) & (100 * common.astype(np.int64) >= SIMILAR * (many - common.astype(np.int64))) & (of_x[:, None] != of_y)
+    i, j = np.nonzero(alike)
+    up: dict[int, int] = {}
+    for a, b in np.unique(np.stack(_pairs(of_x[i], of_y[j]), 1), axis=0).tolist():
+        while up.setdefault(a, a) != a:
+            up[a] = a = up[up[a]]
+        while up.setdefault(b, b) != b:
+            up[b] = b = up[up[b]]
+        up[max(a, b)] = min(a, b)
+    links = [(k, v) for k, v in up.items() if k != v]
+    return np.array([k for k, _ in links], np.int64), np.array([v for _, v in links], np.int64)
 
 
 def _weights(pairs: DataFrame) -> DataFrame:
