@@ -439,6 +439,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     real = signed.filter("id IS NOT NULL AND n_shingles > 0")
     groups = cut(real.groupBy("class").agg(F.min("id").alias("least"), F.first("signature").alias("signature")))
     labels = links(docs, groups.select(F.col("least").alias("id"), "signature"), id, text)
+    # an id with several texts stands in several classes, which it joins
+    several = real.groupBy("id").agg(F.count_distinct("class").alias("n")).filter("n > 1").select("id")
+    stands = real.join(several, "id").join(groups.select("class", "least"), "class").join(labels.toDF("least", "label"), "least", "left")
+    ties = _few(stands.select("id", F.coalesce("label", "least").alias("root")).distinct())
+    if not ties.isEmpty():
+        roots = ties.groupBy("id").agg(F.min("root").alias("a"))
+        labels = _moved(labels, components(ties.join(roots, "id").select("a", F.col("root").alias("b"))))
     own = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
     grouped = own.join(groups.select("class", "least"), "class", "left")
     found = grouped.join(labels.toDF("least", "label"), "least", "left")

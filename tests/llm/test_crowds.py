@@ -40,3 +40,12 @@ def test_crowd_without_its_original(spark, make_docs):
         want = all_pairs(docs)
         got = {r.doc_id: r.component_id for r in L.near_duplicates(make_docs(docs).repartition(4)).collect()}
         assert sum(got[i] != want[i] for i in want) == 0
+
+
+def test_two_texts_under_one_id(spark, make_docs):
+    rnd = random.Random(6)
+    a, b, c, d = (" ".join(rnd.choices([f"w{i}" for i in range(900)], k=60)) for _ in range(4))
+    docs = [(5, a), (5, b), (3, a), (9, b), (9, c), (7, c + " more"), (20, d)]
+    rows = L.near_duplicates(make_docs(docs)).collect()
+    assert len(rows) == len(docs)
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(3, 3, True), (5, 3, False), (7, 3, False), (9, 3, False), (20, 20, True)}
