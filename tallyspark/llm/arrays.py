@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -54,6 +55,16 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             low = high
 
 
+def stretches(text: bytes, between: re.Pattern[bytes], size: int = 2**20) -> Iterator[bytes]:
+    """The text in parts of about ``size`` bytes, cut where ``between`` matches, so what is listed of one part is bounded."""
+    at = 0
+    while at < len(text):
+        cut = between.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def code_points(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 

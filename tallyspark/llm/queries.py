@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import byte_codec, chat_format, language_id, lsh_forest, packing, pivot_search, quality_mil, rule_ledger, token_counts, toxicity
+from tallyspark.llm import byte_codec, chat_format, filter_interaction, language_id, lsh_forest, packing, pivot_search, quality_mil, rule_ledger, source_divergence, token_counts, toxicity
 from tallyspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,17 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.AT).cast("int").alias("predicted"), "evidence")
 
 
+@query
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit(table(spark, folder, "documents"))
+
+
+@query
+def op12_filter_interaction(spark: SparkSession, folder: str) -> DataFrame:
+    masks = filter_interaction.flagged(table(spark, folder, "documents"))
+    return filter_interaction.audit(filter_interaction.ledger(masks, table(spark, folder, "labels")))
+
+
 SQL["op6_rule_ledger"] = r"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 s AS (
@@ -137,3 +148,72 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(24 + length(role) + length(text) + CASE conv_id WHEN -7 THEN 3 ELSE 0 END)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+occ AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM occ JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n, any_value(coalesce(v.v, 0))::HUGEINT AS v
+  FROM g LEFT JOIN c USING (lang, source) LEFT JOIN v ON v.lang = g.lang GROUP BY g.lang, g.source),
+p AS (
+  SELECT n.lang, n.source, kept.term, coalesce(c.n, 0) AS n, (1 + 1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT // (n.n + n.v))::HUGEINT AS p
+  FROM n JOIN kept USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = kept.term),
+q AS (
+  SELECT lang, term, (1 + 1000000000 * (sum(p.n) + 1)::HUGEINT // (any_value(t.n) + any_value(t.v)))::HUGEINT AS q
+  FROM p JOIN (SELECT lang, sum(n) AS n, any_value(v) AS v FROM n GROUP BY lang) t USING (lang) GROUP BY lang, term),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(s.value), 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source GROUP BY a.lang, a.source, b.source),
+term AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p.p - q.q) * (p.p - q.q) // q.q AS value
+  FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+SQL["op12_filter_interaction"] = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+known AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+     100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM w LEFT JOIN known ON known.doc_id = w.doc_id),
+l AS (SELECT unnest(string_split('A B C D E', ' ')) AS x),
+orders AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+c AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+r AS (
+  SELECT part, good, toxic, n, array_to_string(o, '') AS filter_order, step, o[step] AS filter, fails[ascii(o[step]) - 64] AS fails_here,
+    len(list_filter(o[:step - 1], lambda x: fails[ascii(x) - 64])) > 0 AS fails_before,
+    len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM c, steps),
+s AS (SELECT part, filter, sum(n) FILTER (fails_here AND NOT fails_before) AS shapley FROM r GROUP BY part, filter)
+SELECT part, filter_order, step::INT AS step,
+  coalesce(sum(n) FILTER (NOT fails_here AND NOT fails_before), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (fails_here AND NOT fails_before), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails_here AND fails_before), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (fails_here AND n_fails = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(n) FILTER (fails_here AND NOT fails_before AND good), 0)::BIGINT AS good_lost,
+  coalesce(sum(n) FILTER (fails_here AND NOT fails_before AND toxic), 0)::BIGINT AS toxic_lost,
+  coalesce(any_value(shapley), 0)::BIGINT AS shapley
+FROM r JOIN s USING (part, filter) GROUP BY part, filter_order, step
+"""
