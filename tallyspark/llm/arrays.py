@@ -135,6 +135,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z lowered."""
+    return _LOWER[data]
+
+
 def words(data: np.ndarray, starts: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash of every word (runs without ASCII white space, A-Z lowered), words before each text, and word starts."""
     n = len(data)

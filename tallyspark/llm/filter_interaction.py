@@ -69,7 +69,7 @@ def _batch(rows: list[tuple], texts: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names[: len(kinds)])
 
 
-def _first_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_tries(batches: Iterator[pa.RecordBatch], most_bytes: int, most_rows: int) -> Iterator[pa.RecordBatch]:
     """``doc_id, part, fails, n, text`` of a task's rows (``doc_id, part, text``). Text only where the row may still be a copy."""
     trie, fails, rows = Trie(), {}, Counter()
 
@@ -104,7 +104,7 @@ def _first_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if node not in fails:
                 fails[node] = own_fails(text)
             rows[node, id, part] += 1
-            if trie.size > TRIE_BYTES or len(rows) > TRIE_ROWS:
+            if trie.size > most_bytes or len(rows) > most_rows:
                 yield from handed_on()
                 trie, fails, rows = Trie(), {}, Counter()
         yield _batch(lone, True)
@@ -157,6 +157,10 @@ def by_prefix(rows: DataFrame, heavy: list[DataFrame]) -> DataFrame:
 def flagged(docs: DataFrame, id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """``doc_id, part, fails, n``: mask of the failed filters per document; n equal rows of one id are one row."""
     spark = docs.sparkSession
+    most = TRIE_BYTES, TRIE_ROWS
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _first_tries(batches, *most)
 
     def plain(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -164,7 +168,7 @@ def flagged(docs: DataFrame, id: str = "doc_id", text: str = "text", part: str =
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), plain(part).alias("part"), plain(text).alias("text"))
     folder = fresh_dir(spark, "tries")
     schema = f"{_SCHEMA}, text binary"
-    spread(rows.withColumn("text", F.col("text").cast("binary"))).mapInArrow(_first_tries, schema).write.parquet(folder)
+    spread(rows.withColumn("text", F.col("text").cast("binary"))).mapInArrow(first, schema).write.parquet(folder)
     known = spark.read.schema(schema).parquet(folder)
     open_rows = known.filter("text IS NOT NULL").withColumn("text", F.col("text").cast("string"))
     dealt = by_prefix(open_rows, heavy_prefixes(open_rows.select("text")))

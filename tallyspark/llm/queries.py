@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import byte_codec, chat_format, filter_interaction, language_id, lsh_forest, packing, pivot_search, quality_mil, rule_ledger, source_divergence, token_counts, toxicity
+from tallyspark.llm import byte_codec, chat_format, filter_interaction, language_id, lsh_forest, packing, pivot_search, quality_mil, rule_ledger, secret_scan, source_divergence, token_counts, toxicity
 from tallyspark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,11 @@ def op12_filter_interaction(spark: SparkSession, folder: str) -> DataFrame:
     return filter_interaction.audit(filter_interaction.ledger(masks, table(spark, folder, "labels")))
 
 
+@query
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, folder, "documents")))
+
+
 SQL["op6_rule_ledger"] = r"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 s AS (
@@ -217,3 +222,38 @@ SELECT part, filter_order, step::INT AS step,
   coalesce(any_value(shapley), 0)::BIGINT AS shapley
 FROM r JOIN s USING (part, filter) GROUP BY part, filter_order, step
 """
+
+# Every match becomes \uE000 match \uE001, so that the pieces between give the positions.
+SQL["op13_secret_scan"] = r"""
+WITH rules(place, kind) AS (VALUES (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'private_key'), (4, 'code_host'), (5, 'chat_app'), (6, 'login_url')),
+d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+marked AS (
+  SELECT k, place, kind, CASE place
+    WHEN 0 THEN regexp_replace(text, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', chr(57344) || '\0' || chr(57345), 'g')
+    WHEN 1 THEN regexp_replace(text, 'AKIA[A-Z0-9]+', chr(57344) || '\0' || chr(57345), 'g')
+    WHEN 2 THEN regexp_replace(text, '[0-9a-f]+', chr(57344) || '\0' || chr(57345), 'g')
+    WHEN 3 THEN regexp_replace(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----', chr(57344) || '\0' || chr(57345), 'g')
+    WHEN 4 THEN regexp_replace(text, 'gh[opsu]_[A-Za-z0-9]{36,}', chr(57344) || '\0' || chr(57345), 'g')
+    WHEN 5 THEN regexp_replace(text, 'xox[abprs]-[A-Za-z0-9-]{10,}', chr(57344) || '\0' || chr(57345), 'g')
+    ELSE regexp_replace(text, '://[A-Za-z0-9._-]+:[A-Za-z0-9._~!$-]+@', chr(57344) || '\0' || chr(57345), 'g') END AS text
+  FROM d, rules),
+pieces AS (
+  SELECT k, place, kind, string_split(x, chr(57345)) AS x, i
+  FROM (SELECT k, place, kind, unnest(string_split(text, chr(57344))) AS x, generate_subscripts(string_split(text, chr(57344)), 1) AS i FROM marked)),
+sized AS (
+  SELECT k, place, kind, i, CASE WHEN i > 1 THEN x[1] ELSE '' END AS m, length(CASE WHEN i > 1 THEN x[2] ELSE x[1] END) AS after FROM pieces),
+spans AS (
+  SELECT k, place, kind, m, sum(length(m) + after) OVER (PARTITION BY k, place ORDER BY i) - after - length(m) AS a, length(m) AS n, i FROM sized),
+good AS (
+  SELECT k, place, a::BIGINT AS a, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS span FROM spans
+  WHERE i > 1 AND CASE place
+    WHEN 0 THEN length(regexp_extract(m, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6
+    WHEN 1 THEN n >= 20 WHEN 2 THEN n >= 24 ELSE true END),
+g AS (
+  SELECT k, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access, count(*) FILTER (place = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY a, place) FILTER (place < 3) AS base, string_agg(span, ',' ORDER BY a, place) AS spans
+  FROM good GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (k)
+"""
