@@ -14,23 +14,28 @@ from tallyspark.llm.arrays import NUMBER, char_classes
 PART_CHARS = 2**20  # of one text that is handled at once
 
 
+_NOT_WORD = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(maxsize=1)
-def _not_letters() -> re.Pattern[str]:
-    r"""Runs without letters. ``\w`` also holds number signs such as the half and the circled one."""
-    numbers = "".join(map(chr, np.flatnonzero(char_classes() == NUMBER)))
-    return re.compile(rf"[\W_{re.escape(numbers)}]+")
+def _number_signs() -> frozenset[str]:
+    r"""Numbers that ``\w`` holds beside the digits, such as the half and the circled one."""
+    return frozenset(map(chr, np.flatnonzero(char_classes() == NUMBER))) - frozenset("0123456789")
 
 
 def letters(text: str | None) -> str:
     """Lower-case words with one space between; empty without a letter."""
-    return _not_letters().sub(" ", (text or "").lower()).strip()
+    found = _NOT_WORD.sub(" ", (text or "").lower())
+    if not found.isascii() and not _number_signs().isdisjoint(found):
+        found = " ".join("".join(" " if c in _number_signs() else c for c in found).split())
+    return found.strip()
 
 
 def parts(text: str) -> Iterator[str]:
     """The text in parts of about ``PART_CHARS``, cut between words."""
     at = 0
     while at < len(text):
-        cut = _not_letters().search(text, at + PART_CHARS)
+        cut = _NOT_WORD.search(text, at + PART_CHARS)
         end = cut.start() if cut else len(text)
         yield text[at:end]
         at = end
@@ -39,9 +44,9 @@ def parts(text: str) -> Iterator[str]:
 class Dictionary:
     """Compresses short windows with ``content`` before them, as if it had just been read."""
 
-    def __init__(self, content: bytes, thorough: bool = False, min_match: int = 4):
+    def __init__(self, content: bytes, thorough: bool = False, min_match: int = 4, table_log: int = 17):
         quiet = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        how = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_LAZY2 if thorough else zstandard.STRATEGY_GREEDY, min_match=min_match, window_log=18, hash_log=17, chain_log=17, search_log=6 if thorough else 4, target_length=64, **quiet)
+        how = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_LAZY2 if thorough else zstandard.STRATEGY_GREEDY, min_match=min_match, window_log=18, hash_log=table_log, chain_log=table_log, search_log=6 if thorough else 4, target_length=64, **quiet)
         if content[:4] == b"\x37\xa4\x30\xec":  # would be read as a trained dictionary
             content = b" " + content
         held = zstandard.ZstdCompressionDict(content or b"        ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)

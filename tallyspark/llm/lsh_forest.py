@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.arrays import mix, slices, words
-from tallyspark.plans.lineage import cut
+from tallyspark.plans.lineage import cut, shuffles_dropped
 from tallyspark.sources.tables import spread
 
 SHINGLE = 5
@@ -46,7 +46,7 @@ CROWD, CLOSE = 24, 3
 ROUGH = 0.5
 HUBS = 32
 BLOCK, LEAST = 2**18, 128  # shingles of one side of a comparison of crowded classes; what a small class counts there
-PART_ROWS = 100_000  # rows of small tables (pairs, links, labels) that go to one task
+PART_ROWS = 500_000  # rows of small tables (pairs, links, labels) that go to one task
 HASHES = TREES * FIRST
 _RANDOM = np.random.default_rng(71)
 _TIMES = _RANDOM.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -332,23 +332,25 @@ def _members(classes: DataFrame, heads: DataFrame) -> DataFrame:
 def _crowd_links(crowd: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links ``a, b`` between the components of alike members of one region.
 
-    The members of a region's largest component meet all others, and these each other. Both are dealt out in blocks
-    by a hash of the id: a key is a block of others with a block of either. Alike regions of several trees are one region.
+    Regions with members of one component only are done. Regions whose largest components are one and have the same smallest
+    member there are taken together, each member once, so a crowd that several trees found is compared once. The members of
+    the largest component meet all others, and these each other. Both are dealt out in blocks by a hash of the id: a key is a
+    block of others with a block of either.
     """
     size = sets.select("id", F.greatest(F.expr("octet_length(set) div 8"), F.lit(LEAST)).alias("size")).groupBy("id").agg(F.sum("size").alias("size"))
-    region = crowd.select("id", F.xxhash64("tree", "head").alias("region")).distinct().join(labels, "id", "left").join(size, "id")
-    region = _few(region.select("id", "region", F.coalesce("label", "id").alias("label"), "size"))
-    by = region.groupBy("region", "label").agg(F.sum("size").alias("size"))
-    blocks = F.ceil((F.sum("size") - F.max("size")) / BLOCK).cast("int"), F.ceil(F.max("size") / BLOCK).cast("int")
-    regions = by.groupBy("region").agg(F.max(F.struct("size", "label")).alias("most"), blocks[0].alias("others"), blocks[1].alias("mains"))
-    regions = _few(regions.filter("others > 0").select("region", F.col("most.label").alias("main"), "others", "mains"))
-    rows = region.join(regions, "region").withColumn("h", F.xxhash64("id", F.lit(3)))
+    stands = crowd.select("id", F.xxhash64("tree", "head").alias("region")).distinct().join(labels, "id", "left").join(size, "id")
+    stands = _few(stands.select("id", "region", F.coalesce("label", "id").alias("label"), "size"))
+    by = stands.groupBy("region", "label").agg(F.sum("size").alias("size"), F.min("id").alias("least"))
+    mixed = by.groupBy("region").agg(F.max(F.struct("size", "label", "least")).alias("most"), F.count("*").alias("n")).filter("n > 1")
+    mixed = mixed.select("region", F.col("most.label").alias("main"), F.xxhash64("most.label", "most.least").alias("crowd"))
+    region = _few(stands.join(mixed, "region").select(F.col("crowd").alias("region"), "main", "id", "label", "size").distinct())
+    blocks = {name: F.ceil(F.sum(F.when(side, F.col("size"))) / BLOCK).cast("int").alias(name) for name, side in (("others", F.col("label") != F.col("main")), ("mains", F.col("label") == F.col("main")))}
+    rows = region.join(region.groupBy("region").agg(*blocks.values()), "region").withColumn("h", F.xxhash64("id", F.lit(3)))
     one = rows.filter("label = main").select("id", "region", "label", F.expr("pmod(h, mains)").alias("b"), F.explode(F.expr("sequence(0L, others - 1L)")).alias("i"))
     main = one.select("id", "label", F.xxhash64("region", "i", F.lit("main"), "b").alias("key"), F.lit(False).alias("other"))
     rest = rows.filter("label <> main").select("id", "region", "label", "others", "mains", F.expr("pmod(h, others)").alias("i"))
     asked = rest.select("id", "label", F.explode(F.expr("transform(sequence(0L, mains - 1L), b -> xxhash64(region, i, 'main', b))")).alias("key"), F.lit(True).alias("other"))
     both = rest.select("id", "label", F.explode(F.expr("transform(sequence(0L, others - 1L), j -> xxhash64(region, least(i, j), 'other', greatest(i, j)))")).alias("key"), F.lit(True).alias("other"))
-    main = main.select("id", "label", "key", "other")
     dealt = main.union(asked).union(both).join(sets, "id").select("key", "other", "label", "set")
 
     def run(group: pa.Table) -> pa.Table:
@@ -435,6 +437,22 @@ def _one_each(pairs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    with shuffles_dropped(docs.sparkSession):
+        signed, groups, labels = _classes_and_labels(docs, id, text)
+    own = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
+    grouped = own.join(groups.select("class", "least"), "class", "left")
+    found = grouped.join(labels.toDF("least", "label"), "least", "left")
+    component = F.coalesce("label", "least", "id")
+    return found.select(
+        F.col("id").alias(id),
+        "n_shingles",
+        F.when(F.col("id").isNotNull(), component).alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+    )
+
+
+def _classes_and_labels(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, the classes, and the labels of those that are linked."""
     signed = cut(signatures(docs, id, text))
     real = signed.filter("id IS NOT NULL AND n_shingles > 0")
     groups = cut(real.groupBy("class").agg(F.min("id").alias("least"), F.first("signature").alias("signature")))
@@ -446,13 +464,4 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     if not ties.isEmpty():
         roots = ties.groupBy("id").agg(F.min("root").alias("a"))
         labels = _moved(labels, components(ties.join(roots, "id").select("a", F.col("root").alias("b"))))
-    own = signed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).alias("class"))
-    grouped = own.join(groups.select("class", "least"), "class", "left")
-    found = grouped.join(labels.toDF("least", "label"), "least", "left")
-    component = F.coalesce("label", "least", "id")
-    return found.select(
-        F.col("id").alias(id),
-        "n_shingles",
-        F.when(F.col("id").isNotNull(), component).alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
+    return signed, groups, labels

@@ -50,6 +50,7 @@ MOST_SEGMENTS, SHARED_WORDS = 20_000, 2000
 CONTEXT = b"#0918273645#1726"  # no word of letters matches it
 PLACES = "1111000010011010"  # 1: capital; later places are like the last
 MATCH = 6  # bytes of the shortest match
+TABLE_LOG = 14  # size of the match tables, about one place for each byte of a dictionary
 KNOWN_WORDS = 200_000  # spellings kept per task
 HALF = 100  # words at which the length starts to count
 SAME = 4
@@ -81,7 +82,7 @@ class Savings:
     """Bytes that the toxic dictionary saves on the windows of a text."""
 
     def __init__(self, model: Model):
-        self._toxic, self._ordinary = (Dictionary(c + CONTEXT, thorough=True, min_match=MATCH) for c in (model.toxic, model.ordinary))
+        self._toxic, self._ordinary = (Dictionary(c + CONTEXT, min_match=MATCH, table_log=TABLE_LOG) for c in (model.toxic, model.ordinary))
         self._known: dict[str, bytes] = {}
 
     def _spelled(self, word: str) -> bytes:

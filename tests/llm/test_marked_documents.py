@@ -35,7 +35,7 @@ def test_documents_of_every_group_are_found(scored):
 def test_evidence_against_plain_windows(scored):
     """Lengths of all windows under both dictionaries, one call each, added up anew."""
     model, known, found = scored
-    toxic, ordinary = (Dictionary(c + toxicity.CONTEXT, thorough=True, min_match=toxicity.MATCH) for c in (model.toxic, model.ordinary))
+    toxic, ordinary = (Dictionary(c + toxicity.CONTEXT, min_match=toxicity.MATCH, table_log=toxicity.TABLE_LOG) for c in (model.toxic, model.ordinary))
     for i, (_, _, text) in sorted(known.items())[:60]:
         words = [toxicity.marked(w) for w in letters(text).split()]
         saved = 0
