@@ -1,4 +1,4 @@
-"""Voting and stacking over MLlib models."""
+"""Voting and stacking over MLlib models and this package's own."""
 
 from __future__ import annotations
 
@@ -6,21 +6,21 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Estimator, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    LogisticRegressionModel,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.ml.boosting import BoostedModel, Booster
+from tallyspark.ml.kernel import KernelMachine, KernelModel
+from tallyspark.ml.random_trees import ExtraTrees, ForestModel
 from tallyspark.ml.split import hash_folds
 
+OWN_MODELS = (BoostedModel, ForestModel, KernelModel)
+PENALTY = 0.1  # L1 and L2 of boosting
+
 
 def random_forest(label: str, features: str, trees: int = 100, depth: int = 10, weight: str | None = None, seed: int = 42):
     model = RandomForestClassifier(
@@ -30,29 +30,25 @@ def random_forest(label: str, features: str, trees: int = 100, depth: int = 10,
     return model.setWeightCol(weight) if weight else model
 
 
-def extra_trees(label: str, features: str, trees: int = 150, depth: int = 12, seed: int = 43):
-    """Stands in for extremely randomised trees: no bootstrap, few bins, few features."""
-    return RandomForestClassifier(
-        labelCol=label, featuresCol=features, numTrees=trees, maxDepth=depth, minInstancesPerNode=2, maxBins=64,
-        bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy="log2", seed=seed,
-    )
+def extra_trees(label: str, features: str, trees: int = 150, depth: int = 12, seed: int = 43) -> ExtraTrees:
+    return ExtraTrees(label, features, trees, depth, seed=seed)
 
 
-def boosted_trees(label: str, features: str, rounds: int = 100, depth: int = 6, weight: str | None = None, seed: int = 42):
-    model = GBTClassifier(
-        labelCol=label, featuresCol=features, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed
-    )
-    return model.setWeightCol(weight) if weight else model
+def boosted_trees(label: str, features: str, rounds: int = 100, depth: int = 6, weight: str | None = None, penalty: float = PENALTY, positive_weight: float = 1.0, seed: int = 42) -> Booster:
+    return Booster(label, features, rounds=rounds, depth=depth, l1=penalty, l2=penalty, weight=weight, positive_weight=positive_weight, seed=seed)
+
+
+def boosted_trees_many(label: str, features: str, rounds: int = 80, depth: int = 6, classes: int = 2, penalty: float = PENALTY, seed: int = 42) -> Booster:
+    """Boosting for any number of classes, one tree per class and round."""
+    return Booster(label, features, rounds=rounds, depth=depth, l1=penalty, l2=penalty, classes=classes, bins=32, seed=seed)
 
 
-def boosted_trees_many(label: str, features: str, rounds: int = 80, depth: int = 6, seed: int = 42, parallelism: int = 1):
-    """Boosting for more than two classes: one booster per class."""
-    one = GBTClassifier(featuresCol=features, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
-    return OneVsRest(classifier=one, labelCol=label, featuresCol=features, parallelism=parallelism)
+def kernel_machine(label: str, features: str, landmarks: int = 100, penalty: float = 1.0, rounds: int = 100) -> KernelMachine:
+    return KernelMachine(label, features, landmarks, penalty, rounds=rounds)
 
 
 def linear_svc(label: str, features: str, rounds: int = 50):
-    """Stands in for the kernel machine; its margin becomes a probability by the logistic function."""
+    """A linear machine; its margin becomes a probability by the logistic function."""
     return LinearSVC(labelCol=label, featuresCol=features, regParam=0.01, maxIter=rounds)
 
 
@@ -61,17 +57,19 @@ def logistic(label: str, features: str, reg: float = 0.01):
 
 
 def class_probabilities(model, df: DataFrame, name: str) -> DataFrame:
-    """Adds class probabilities of a fitted model as an array, and nothing else."""
+    """Adds class probabilities of a fitted model as an array, and nothing else.
+
+    Linear models of two classes are scored from their coefficients alone: the plan then holds numbers, not a model with its training summary.
+    """
+    if hasattr(model, "probabilities"):
+        return model.probabilities(df, name)
+    if isinstance(model, LinearSVCModel) or isinstance(model, LogisticRegressionModel) and model.numClasses == 2:
+        x = vector_to_array(model.getFeaturesCol())
+        weights = F.array(*[F.lit(float(w)) for w in model.coefficients.toArray()])
+        margin = F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(float(model.intercept)), lambda s, v: s + v)
+        return df.withColumn(name, F.array(1 / (1 + F.exp(margin)), 1 / (1 + F.exp(-margin))))
     keep = df.columns
-    scored = model.transform(df)
-    if "probability" in scored.columns:
-        p: Column = vector_to_array("probability")
-    else:
-        scored = scored.withColumn(
-            "_odds", F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
-        ).withColumn("_sum", F.aggregate("_odds", F.lit(0.0), lambda a, b: a + b))
-        p = F.transform("_odds", lambda x: x / F.col("_sum"))
-    return scored.withColumn(name, p).select(*keep, name)
+    return model.transform(df).withColumn(name, vector_to_array("probability")).select(*keep, name)
 
 
 def _average(names: Sequence[str]) -> Column:
@@ -160,17 +158,21 @@ class Stack:
 def save_parts(path: str, about: dict, prepare: PipelineModel, models: Sequence) -> None:
     """Writes the parts as MLlib folders and a one-row description."""
     prepare.write().overwrite().save(f"{path}/prepare")
-    for i, m in enumerate(models):
-        PipelineModel(stages=[m]).write().overwrite().save(f"{path}/part-{i}")
-    SparkSession.active().createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").json(f"{path}/about")
+    kinds = [type(m).__name__ if type(m) in OWN_MODELS else "" for m in models]
+    for i, (m, kind) in enumerate(zip(models, kinds)):
+        if kind:
+            m.save(f"{path}/part-{i}")
+        else:
+            PipelineModel(stages=[m]).write().overwrite().save(f"{path}/part-{i}")
+    SparkSession.active().createDataFrame([(json.dumps(about | {"kinds": kinds}),)], "about string").write.mode("overwrite").json(f"{path}/about")
 
 
 def load_ensemble(path: str):
     """Reads a saved vote or stack."""
     about = json.loads(SparkSession.active().read.json(f"{path}/about").first()["about"])
     prepare = PipelineModel.load(f"{path}/prepare")
-    parts = about["members"] + (1 if about["kind"] == "stack" else 0)
-    models = [PipelineModel.load(f"{path}/part-{i}").stages[0] for i in range(parts)]
+    own = {m.__name__: m for m in OWN_MODELS}
+    models = [own[kind].load(f"{path}/part-{i}") if kind else PipelineModel.load(f"{path}/part-{i}").stages[0] for i, kind in enumerate(about["kinds"])]
     if about["kind"] == "vote":
         return SoftVote(prepare, models)
     return Stack(prepare, models[:-1], models[-1])
@@ -180,5 +182,5 @@ def importances(vote: SoftVote, names: Sequence[str]) -> list[tuple[str, float]]
     """Mean feature importance over the tree models, highest first."""
     trees = [m for m in vote.models if hasattr(m, "featureImportances")]
     arrays = [m.featureImportances.toArray() for m in trees]
-    mean = sum(arrays) / len(arrays)
+    mean = sum(np.pad(a, (0, max(0, len(names) - len(a)))) for a in arrays) / len(arrays)
     return sorted(((n, float(v)) for n, v in zip(names, mean)), key=lambda x: (-x[1], x[0]))

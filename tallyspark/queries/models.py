@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import exprs
 from tallyspark.functions.words import STOP_WORDS
-from tallyspark.ml import ensembles, features, iforest, jobs, metrics, neighbours, split
+from tallyspark.ml import boosting, ensembles, features, guided, iforest, jobs, metrics, neighbours, random_trees, split
 from tallyspark.operators import anomaly, bars, people
+from tallyspark.plans.keyed import with_scalars
 from tallyspark.plans.lineage import cut, fresh_dir
 from tallyspark.queries.bars import rounded
 from tallyspark.queries.registry import query
@@ -371,15 +372,36 @@ def _shown(df, key, *more):
 
 
 def _cards(spark, folder):
-    rows = split.with_class_weights(views.v_features(spark, folder), "class")
-    return cut(split.stratified_folds(rows, "class", "id"))
+    """Card rows with engineered features and folds, and the columns to learn from."""
+    rows, columns = jobs.fraud_features(views.v_features(spark, folder))
+    return cut(split.stratified_folds(rows, "class", "id")), columns
 
 
-@query("M4 M5 M8 M11 M15 M18")
+_FITTED: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark, folder, name, make):
+    """What ``make`` gives, kept for the queries of one application that share it."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
+def _fraud(spark, folder):
+    """The fraud job: engineered features, synthetic minority rows, a vote of boosting and a forest."""
+
+    def make():
+        rows, columns = _cards(spark, folder)
+        return rows, columns, jobs.fit_fraud(cut(jobs.balanced(rows.filter("fold <> 0"), columns)), columns)
+
+    return _once(spark, folder, "fraud", make)
+
+
+@query("M4 M5 M8 M10 M11 M15 P17 P18 D7")
 def fraud_scores(spark, folder):
-    """Fraud risk of held-out rows, by a weighted vote of boosting and a forest."""
-    rows = _cards(spark, folder)
-    model = jobs.fit_fraud(rows.filter("fold <> 0"), _V, trees=20, rounds=10)
+    """Fraud risk of held-out rows, by the fraud job."""
+    rows, _, model = _fraud(spark, folder)
     out = model.transform(rows.filter("fold = 0"))
     return out.select("id", "class", F.round(F.element_at("probability", 2), 6).alias("risk"), "prediction")
 
@@ -387,12 +409,26 @@ def fraud_scores(spark, folder):
 @query("T4 M4 M5")
 def fraud_importance(spark, folder):
     """Ten most important features, averaged over two models."""
-    model = jobs.fit_fraud(_cards(spark, folder), _V, trees=20, rounds=10)
-    ranked = ensembles.importances(model, _V)
-    df = spark.createDataFrame(ranked, "feature string, importance double")
+    _, columns, model = _fraud(spark, folder)
+    df = spark.createDataFrame(ensembles.importances(model, columns), "feature string, importance double")
     return rounded(df.orderBy(F.col("importance").desc(), "feature").limit(10))
 
 
+@query(
+    "M10 M18",
+    views="v_features",
+    sql="""
+WITH f AS (SELECT id, class, (row_number() OVER (PARTITION BY class ORDER BY HASH42, id) - 1) % 5 AS fold FROM v_features),
+c AS (SELECT count(*) FILTER (class = 1) AS few, count(*) FILTER (class = 0) AS many FROM f WHERE fold <> 0)
+SELECT class, n FROM (SELECT 1 AS class, many AS n FROM c UNION ALL SELECT 0, many FROM c)
+""".replace("HASH42", _hash("42", "id")),
+)
+def balanced_training_rows(spark, folder):
+    """Rows of each class that the fraud job learns from."""
+    rows, columns = _cards(spark, folder)
+    return jobs.balanced(rows.filter("fold <> 0"), columns).groupBy("class").agg(F.count("*").alias("n"))
+
+
 def _expenses(spark, folder):
     raw = views.expenses(spark, folder).select(
         "id", exprs.strip_number(F.col("amount_text")).alias("amount"), "merchant", "description", "category"
@@ -404,7 +440,7 @@ def _expenses(spark, folder):
 def expense_categories(spark, folder):
     """Category of held-out expenses from text, merchant and size."""
     rows = cut(split.stratified_folds(_expenses(spark, folder), "category", "id"))
-    model = jobs.fit_expense(rows.filter("fold <> 0"), trees=10, rounds=2, text_terms=100)
+    model = jobs.fit_expense(rows.filter("fold <> 0"))
     return _shown(model.transform(rows.filter("fold = 0")), "id", "category")
 
 
@@ -428,7 +464,7 @@ def _people(spark, folder):
 def income_predictions(spark, folder):
     """Income class of held-out people by a stacked ensemble."""
     rows = cut(split.stratified_folds(_people(spark, folder), "label", "id"))
-    model = jobs.fit_income(rows.filter("fold <> 0"), _NUMBERS, _TEXTS, "label", "id", trees=10, more=10, depth=5, rounds=10)
+    model = jobs.fit_income(rows.filter("fold <> 0"), _NUMBERS, _TEXTS, "label", "id")
     return _shown(model.transform(rows.filter("fold = 0")), "id", "label")
 
 
@@ -455,32 +491,64 @@ def _direction_rows(spark, folder):
 def direction_predictions(spark, folder):
     """Next-bar direction for the last fifth of the bars, trained on the bars before."""
     rows = cut(split.time_split(_direction_rows(spark, folder), ["ts", "symbol"]))
-    model = jobs.fit_direction(rows.filter("NOT is_test"), trees=20)
+    model = jobs.fit_direction(rows.filter("NOT is_test"))
     return _shown(model.transform(rows.filter("is_test")), "symbol", "ts", "direction")
 
 
 @query("M12")
 def search_report(spark, folder):
-    """Cross-validated scores of random and grid points for a forest."""
+    """Cross-validated scores of random and grid points over the forest's whole ranges."""
     rows = split.stratified_folds(views.v_features(spark, folder), "class", "id", folds=3)
     shaped = VectorAssembler(inputCols=_V, outputCol="features").transform(rows).select("class", "fold", "features")
-    points = jobs.random_points({"numTrees": (5, 15, False, True), "maxDepth": (2, 5, False, True)}, 2)
-    points += jobs.grid_points({"numTrees": [5], "maxDepth": [3, 5]})
-    _, report = jobs.search(shaped, ensembles.random_forest("class", "features", 10, 5), points, "class", "auc")
+    points = jobs.random_points(jobs.FOREST_RANGES, 4) + jobs.grid_points({"numTrees": [100, 200], "maxDepth": [10]})
+    _, report = jobs.search(shaped, ensembles.random_forest("class", "features"), points, "class", "auc", parallelism=4)
     return rounded(report)
 
 
+GUIDED, GUIDED_FIRST = 7, 4
+
+
+@query(
+    "M12",
+    views="v_features",
+    sql=f"SELECT {GUIDED}::BIGINT AS trials, 2::BIGINT AS batches, 0::BIGINT AS out_of_range, {GUIDED}::BIGINT AS points, true AS numbered, true AS improvements_known FROM (SELECT count(*) FROM v_features)",
+)
+def guided_search_trials(spark, folder):
+    """A model-guided search over the forest's whole ranges: what its table of trials holds."""
+    rows = split.stratified_folds(views.v_features(spark, folder), "class", "id", folds=3)
+    shaped = VectorAssembler(inputCols=_V, outputCol="features").transform(rows).select("class", "fold", "features")
+
+    def fit(train, params):
+        return ensembles.random_forest("class", "features", params["numTrees"], params["maxDepth"]).fit(train)
+
+    def auc(model, held):
+        scored = ensembles.class_probabilities(model, held, "_p").withColumn("_s", F.element_at("_p", 2))
+        return metrics.ranking(scored, "class", "_s").first()["auc"] or 0.0
+
+    log = guided.search(shaped, fit, auc, guided.Space(jobs.FOREST_RANGES), GUIDED, fresh_dir(spark, "trials"), first=GUIDED_FIRST, batch=3)
+    trees, depth = (F.get_json_object("params", f"$.{n}").cast("int") for n in ("numTrees", "maxDepth"))
+    outside = ~(trees.between(50, 300) & depth.between(5, 20) & F.col("mean_score").between(0, 1))
+    return log.agg(
+        F.count("*").alias("trials"),
+        F.countDistinct("batch").alias("batches"),
+        F.count_if(F.coalesce(outside, F.lit(True))).alias("out_of_range"),
+        F.countDistinct("unit").alias("points"),
+        (F.max("trial") - F.min("trial") + 1 == F.countDistinct("trial")).alias("numbered"),
+        F.bool_and((F.col("batch") == 0) == F.col("improvement").isNull()).alias("improvements_known"),
+    )
+
+
 @query("M14 M16 A19")
 def smaller_model_report(spark, folder):
     """A smaller fraud vote against the original: score kept, speed and size."""
-    rows = _cards(spark, folder)
+    rows, columns = _cards(spark, folder)
     return jobs.compare_sizes(
-        rows.filter("fold <> 0"),
+        cut(jobs.balanced(rows.filter("fold <> 0"), columns)),
         rows.filter("fold = 0"),
         "class",
-        lambda df, trees, rounds: jobs.fit_fraud(df, _V, trees=trees, rounds=rounds),
-        {"trees": 20, "rounds": 8},
-        {"trees": 6, "rounds": 3},
+        lambda df, **sizes: jobs.fit_fraud(df, columns, **sizes),
+        {},
+        {"trees": 25, "rounds": 25},
         fresh_dir(spark, "models"),
         "fraud",
     )
@@ -498,16 +566,21 @@ _ALL_AGREE = "SELECT count(*) AS scored, 0::BIGINT AS mismatches FROM v_features
 
 def _small_vote(spark, folder):
     """A vote of all kinds of members, small: its parts are checked here, not its quality."""
-    rows = cut(views.v_features(spark, folder).select("id", F.col("class").cast("double").alias("class"), *_V))
-    prepare = Pipeline(stages=[VectorAssembler(inputCols=_V, outputCol="features")])
-    members = [
-        ensembles.boosted_trees("class", "features", 3, 3),
-        ensembles.random_forest("class", "features", 5, 4),
-        ensembles.extra_trees("class", "features", 5, 4),
-        ensembles.linear_svc("class", "features", 10),
-        ensembles.logistic("class", "features"),
-    ]
-    return rows, ensembles.SoftVote.fit(rows, prepare, members)
+
+    def make():
+        rows = cut(views.v_features(spark, folder).select("id", F.col("class").cast("double").alias("class"), *_V))
+        prepare = Pipeline(stages=[VectorAssembler(inputCols=_V, outputCol="features")])
+        members = [
+            ensembles.boosted_trees("class", "features", 3, 3),
+            ensembles.random_forest("class", "features", 5, 4),
+            ensembles.extra_trees("class", "features", 5, 4),
+            ensembles.linear_svc("class", "features", 10),
+            ensembles.logistic("class", "features"),
+            ensembles.kernel_machine("class", "features", 20),
+        ]
+        return rows, ensembles.SoftVote.fit(rows, prepare, members)
+
+    return _once(spark, folder, "parts", make)
 
 
 @query("M4 M5 M6 M7 M8", views="v_features", sql=_ALL_AGREE)
@@ -569,6 +642,102 @@ def missing_models_trained(spark, folder):
     return spark.createDataFrame(rows, "run string, model string, outcome string")
 
 
+_GRID = 16  # equal bins of the first split
+_FIRST_L1, _FIRST_L2, _FIRST_WEIGHT = 0.5, 1.0, 9.0
+
+
+@query(
+    "M5",
+    views="v_features",
+    sql=f"""
+WITH x AS (SELECT id, class, CASE WHEN class = 1 THEN {_FIRST_WEIGHT}::DOUBLE ELSE 1 END AS w, unnest(range(0, {views.V_COUNT})) AS feature, unnest({_VLIST}) AS v FROM v_features),
+e AS (SELECT feature, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1),
+b AS (SELECT feature, (0.5 - class) * w AS g, 0.25 * w AS h, len(list_filter(range(1, {_GRID}), lambda i: lo + (hi - lo) * i / {_GRID} < v)) AS bin FROM x JOIN e USING (feature)),
+s AS (SELECT feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM b GROUP BY 1, 2),
+l AS (SELECT feature, i AS bin, sum(g) FILTER (s.bin <= i) AS gl, sum(h) FILTER (s.bin <= i) AS hl, sum(n) FILTER (s.bin <= i) AS nl, sum(g) AS g, sum(h) AS h, sum(n) AS n FROM s, range(0, {_GRID - 1}) r(i) GROUP BY 1, 2),
+k AS (SELECT *, g - gl AS gr, h - hl AS hr, n - nl AS nr FROM l WHERE hl >= 1 AND h - hl >= 1),
+t AS (SELECT *, sign(g) * greatest(abs(g) - {_FIRST_L1}, 0) AS t, sign(gl) * greatest(abs(gl) - {_FIRST_L1}, 0) AS tl, sign(gr) * greatest(abs(gr) - {_FIRST_L1}, 0) AS tr FROM k),
+best AS (SELECT *, (tl * tl / (hl + {_FIRST_L2}) + tr * tr / (hr + {_FIRST_L2}) - t * t / (h + {_FIRST_L2})) / 2 AS gain FROM t ORDER BY round(gain, 9) DESC, feature, bin LIMIT 1),
+o AS (
+  SELECT 0 AS node, feature, bin, gain, -t / (h + {_FIRST_L2}) AS weight, g, h, n FROM best
+  UNION ALL SELECT 1, -1, 0, 0, -tl / (hl + {_FIRST_L2}), gl, hl, nl FROM best UNION ALL SELECT 2, -1, 0, 0, -tr / (hr + {_FIRST_L2}), gr, hr, nr FROM best)
+SELECT node::INT AS node, feature::INT AS feature, bin::INT AS bin, round(gain, 6) AS gain, round(weight, 6) AS weight, round(g, 6) AS g, round(h, 6) AS h, n::BIGINT AS n FROM o
+""",
+)
+def boosted_first_split(spark, folder):
+    """The first tree of boosting, one level deep, on equal bins: split, gain and leaf weights with both penalties and a class weight."""
+    rows = views.v_features(spark, folder).select("class", F.array(*_V).alias("features"))
+    one = boosting.Booster("class", "features", rounds=1, depth=1, sample=1.0, columns=1.0, l1=_FIRST_L1, l2=_FIRST_L2, positive_weight=_FIRST_WEIGHT, bins=_GRID, equal_width=True)
+    return rounded(one.fit(rows).table(spark).drop("round", "class", "at"))
+
+
+@query("M5", views="v_features", sql="SELECT 0::BIGINT AS wrong_sums, 0::BIGINT AS wrong_weights, 0::BIGINT AS wrong_gains, count(*) AS scored, 0::BIGINT AS mismatches FROM v_features")
+def boosted_nodes_recomputed(spark, folder):
+    """Every stored node against sums over the rows that reach it, by joins round after round; then the scores."""
+    rows = cut(views.v_features(spark, folder).select("id", F.col("class").cast("int").alias("y"), F.array(*_V).alias("x")))
+    depth, l1, l2 = 3, 0.2, 0.7
+    model = boosting.Booster("y", "x", rounds=3, depth=depth, sample=1.0, l1=l1, l2=l2).fit(rows)
+    nodes = cut(model.table(spark))
+    at = rows.withColumn("margin", F.lit(0.0))
+    sums = None
+    for i in range(3):
+        own = nodes.filter(F.col("round") == i).select("node", "feature", "at", "weight")
+        p = 1 / (1 + F.exp(-F.col("margin")))
+        step = at.select("id", "x", "y", "margin", (p - F.col("y")).alias("g"), (p * (1 - p)).alias("h"), F.lit(0).alias("node"))
+        for level in range(depth + 1):
+            met = step.join(own, "node")
+            here = met.filter(F.col("node") >= 2**level - 1).groupBy("node").agg(F.sum("g").alias("g2"), F.sum("h").alias("h2"), F.count("*").alias("n2"))
+            sums = here.withColumn("round", F.lit(i)) if sums is None else sums.union(here.withColumn("round", F.lit(i)))
+            below = F.get("x", F.col("feature")) <= F.col("at")
+            step = met.select("id", "x", "y", "margin", "g", "h", F.when(F.col("feature") < 0, F.col("node")).otherwise(2 * F.col("node") + F.when(below, 1).otherwise(2)).alias("node"), "weight")
+            step = step if level == depth else step.drop("weight")
+        at = cut(step.select("id", "x", "y", (F.col("margin") + model.rate * F.col("weight")).alias("margin")))
+
+    def soft(c):
+        return F.signum(c) * F.greatest(F.abs(c) - l1, F.lit(0.0))
+
+    def part(c, h):
+        return soft(F.col(c)) * soft(F.col(c)) / (F.col(h) + l2)
+
+    both = cut(nodes.join(sums, ["round", "node"], "left"))
+    left, right = (both.select("round", (F.col("node") - i).alias("_n"), F.col("g2").alias(f"{side}_g"), F.col("h2").alias(f"{side}_h")) for i, side in ((1, "left"), (2, "right")))
+    checked = both.withColumn("_n", 2 * F.col("node")).join(left, ["round", "_n"], "left").join(right, ["round", "_n"], "left")
+    gain = F.when(F.col("feature") < 0, 0.0).otherwise((part("left_g", "left_h") + part("right_g", "right_h") - part("g2", "h2")) / 2)
+    wrong = checked.agg(
+        F.count_if(F.coalesce((F.abs(F.col("g") - F.col("g2")) > 1e-6) | (F.abs(F.col("h") - F.col("h2")) > 1e-6) | (F.col("n") != F.col("n2")), F.lit(True))).alias("wrong_sums"),
+        F.count_if(F.coalesce(F.abs(F.col("weight") + soft(F.col("g2")) / (F.col("h2") + l2)) > 1e-6, F.lit(True))).alias("wrong_weights"),
+        F.count_if(F.coalesce(F.abs(F.col("gain") - gain) > 1e-6, F.lit(True))).alias("wrong_gains"),
+    )
+    scored = model.probabilities(at, "p")
+    return with_scalars(wrong, _agreement(scored, F.abs(F.element_at("p", 2) - 1 / (1 + F.exp(-F.col("margin")))) > 1e-9))
+
+
+@query("M7", views="v_features", sql=_ALL_AGREE)
+def random_trees_replayed(spark, folder):
+    """Extremely randomised trees against a walk down their stored nodes, level by level, as joins."""
+    rows = cut(views.v_features(spark, folder).select("id", F.col("class").cast("int").alias("y"), F.array(*_V).alias("x")))
+    model = random_trees.ExtraTrees("y", "x", trees=12, depth=6).fit(rows)
+    nodes = cut(model.table(spark))
+    at = rows.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("tree"), F.lit(0).alias("node"))
+    for _ in range(6):
+        below = F.get("x", F.col("feature")) <= F.col("at")
+        step = F.when(F.col("feature") < 0, F.col("node")).when(below, F.col("left")).otherwise(F.col("right"))
+        at = at.join(nodes, ["tree", "node"]).select("id", "x", "tree", step.alias("node"))
+    plain = at.join(nodes, ["tree", "node"]).groupBy("id").agg(F.avg(F.get("p", F.lit(1))).alias("plain"))
+    both = model.probabilities(rows, "_p").join(plain, "id")
+    return _agreement(both, F.coalesce(F.abs(F.element_at("_p", 2) - F.col("plain")) > 1e-9, F.lit(True)))
+
+
+@query("M7 M15", views="v_features", sql=_ALL_AGREE)
+def kernel_scores_from_landmarks(spark, folder):
+    """The kernel machine's probabilities against column arithmetic over its stored landmarks, weights and sigmoid."""
+    rows, vote = _small_vote(spark, folder)
+    model = vote.models[5]
+    scored = model.probabilities(vote.prepare.transform(rows), "_p")
+    plain = 1 / (1 + F.exp(-(model.slope * model.margin_column(F.array(*_V)) + model.offset)))
+    return _agreement(scored, F.coalesce(F.abs(F.element_at("_p", 2) - plain) > 1e-9, F.lit(True)))
+
+
 @query("D8", views="v_features", sql=_ALL_AGREE)
 def forest_scores_from_nodes(spark, folder):
     """Isolation scores against a walk down the stored nodes, level by level, as joins."""
