@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import uniform
-from tallyspark.plans.keyed import KeyedRows, with_scalars
+from tallyspark.plans.keyed import KeyedRows, ranked_values, with_scalars
 
 
 def hash_number(seed: str, *parts: Column) -> Column:
@@ -24,10 +24,18 @@ def positions(df: DataFrame, order: list[str], name: str = "_at") -> DataFrame:
 def sample_rows(df: DataFrame, size: int, key: str, seed: str = "42") -> DataFrame:
     """Exactly ``size`` rows (all, if there are fewer), chosen by hash of the unique key.
 
-    Rows are placed in the order of (hash, key), so equal hashes don't change the count.
+    The hash of the last row taken is found by selection; only rows with that very hash are put in order of the key.
     """
     keyed = df.withColumn("_h", hash_number(seed, F.col(key)))
-    return positions(keyed, ["_h", key]).filter(F.col("_at") < size).drop("_h", "_at")
+    counted = keyed.filter(F.col("_h").isNotNull())
+    if size <= 0:
+        return df.limit(0)
+    if counted.limit(size + 1).count() <= size:
+        return df
+    last = int(ranked_values(counted, [("_h", size - 1)])[0])  # 52 bits, so exact as a double
+    below = counted.filter(F.col("_h") < last)
+    ties = counted.filter(F.col("_h") == last).orderBy(key).limit(size - below.count())
+    return below.unionByName(ties).drop("_h")
 
 
 def stratified_sample(df: DataFrame, size: int, label: str, key: str, seed: str = "42") -> DataFrame:

@@ -222,11 +222,9 @@ def quality_columns(
         )
     if amount in df.columns:
         out = large_amounts(out, amount)
-        if out.limit(11).count() > 10:
-            out = rolling_amount(out, keys, order, amount)
-        else:
-            none = F.lit(None).cast("double")
-            out = out.withColumns({"_amount_rolling_mean": none, "_amount_rolling_std": none})
+        enough = with_scalars(rolling_amount(out, keys, order, amount), out.agg((F.count(F.lit(1)) > 10).alias("_enough")))
+        rolled = ("_amount_rolling_mean", "_amount_rolling_std")
+        out = enough.withColumns({c: F.when(F.col("_enough"), F.col(c)) for c in rolled}).drop("_enough")
     return out
 
 

@@ -25,6 +25,7 @@ fixed multiple of it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -38,8 +39,6 @@ HOT_ROWS_DEFAULT = 1_000_000
 # Pieces per ``limit`` rows; spare pieces absorb the error of sampled range borders.
 OVERSPLIT = 4
 SKETCH_ACCURACY = 20_000
-# A whole-table quantile is one group: beyond this many rows it is ranked in parallel.
-ONE_MAP_ROWS = 100_000
 
 
 def hot_row_limit(df: DataFrame) -> int:
@@ -316,14 +315,81 @@ def _ranked_quantiles(
     return picked.groupBy(*keys).agg(*outputs) if keys else picked.agg(*outputs)
 
 
-def table_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], limit: int | None = None) -> DataFrame:
-    """One row of exact quantiles over the whole table."""
+BUCKETS = 4096  # of a value range, and distinct values that are read at once
+
+
+def ranked_values(df: DataFrame, wanted: Sequence[tuple[str, int]]) -> list[float]:
+    """The value at each (column, 0-based rank) of a whole table's columns, as doubles, by parallel selection.
+
+    A round cuts the value range that holds a rank into buckets and counts them, all ranks in one pass; the rank's bucket is
+    the next range, as wide as its own values. A range of few rows is counted value by value. So no task sorts and the driver
+    reads at most ``BUCKETS`` and a few rows per rank and round. Doubles end within a few rounds, whatever their distribution. Infinities are
+    values like others, NaN is larger than all, nulls don't count; a rank the column has no row for is an error.
+    """
+    names = list(dict.fromkeys(c for c, _ in wanted))
+    values = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(names)])
+    infinite = float("inf")
+
+    def finite(v: Column) -> Column:
+        return ~F.isnan(v) & ~v.isin(infinite, -infinite)
+
+    shape = values.agg(
+        *[agg.alias(f"{name}{i}") for i in range(len(names)) for v in [F.col(f"_v{i}")] for name, agg in (("n", F.count(v)), ("lo", F.min(F.when(finite(v), v))), ("hi", F.max(F.when(finite(v), v))))]
+    ).first()
+    found: dict[tuple[int, int], float] = {}
+    todo = {(names.index(c), rank): (shape[f"lo{names.index(c)}"], shape[f"hi{names.index(c)}"], 0, shape[f"n{names.index(c)}"], True) for c, rank in wanted}
+    for (i, rank), (*_, n, _) in todo.items():
+        if not 0 <= rank < n:
+            raise ValueError(f"column {names[i]} has no rank {rank}")
+    while todo:
+        items = []
+        for q, ((i, _), (lo, hi, _, n, whole)) in enumerate(todo.items()):
+            v = F.col(f"_v{i}")
+            few = n <= BUCKETS
+            if lo is None or lo == hi:
+                inside = F.lit(0)
+            elif lo / 2 == hi / 2:  # neighbours among the smallest numbers
+                inside = (v > lo).cast("int")
+            else:
+                place = (v / 2 - lo / 2) / (hi / 2 - lo / 2) * BUCKETS
+                inside = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+            bucket = F.when(F.isnan(v), BUCKETS + 1).when(v == infinite, BUCKETS).when(v == -infinite, -1).otherwise(inside)
+            here = v.isNotNull() if whole else v.between(lo, hi) & ~F.isnan(v)
+            items.append(F.when(here, F.struct(F.lit(q).alias("q"), bucket.alias("b"), (v if few else F.lit(None).cast("double")).alias("same"), v.alias("v"))))
+        rows = values.select(F.explode(F.array_compact(F.array(*items))).alias("x")).groupBy("x.q", "x.b", "x.same").agg(F.count("*").alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi")).collect()
+        by: dict[int, list] = {}
+        for r in rows:
+            by.setdefault(r.q, []).append(r)
+        after = {}
+        for q, (key, (_, _, before, _, _)) in enumerate(todo.items()):
+            for r in sorted(by[q], key=lambda r: (r.b, r.same is not None and r.same == r.same, r.same or 0.0)):
+                if before + r.n > key[1]:
+                    if r.lo == r.hi or r.lo != r.lo:
+                        found[key] = r.lo
+                    else:
+                        after[key] = (r.lo, r.hi, before, r.n, False)
+                    break
+                before += r.n
+        todo = after
+    return [found[names.index(c), rank] for c, rank in wanted]
+
+
+def table_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of exact quantiles over the whole table, interpolated like ``percentile``; null of a column without values."""
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    df = df.select(*columns)
-    limit = limit or min(hot_row_limit(df), ONE_MAP_ROWS)
-    if df.count() <= limit:
-        return _small_quantiles(df, [], wanted)
-    return _ranked_quantiles(df, [], wanted, limit)
+    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    places = {name: p * (sizes[f"n{columns.index(c)}"] - 1) for name, (c, p) in wanted.items() if sizes[f"n{columns.index(c)}"]}
+    ranks = list(dict.fromkeys((wanted[name][0], rank) for name, at in places.items() for rank in (math.floor(at), math.ceil(at))))
+    value = dict(zip(ranks, ranked_values(df, ranks))) if ranks else {}
+    row = []
+    for name, (c, _) in wanted.items():
+        if name in places:
+            low, high = math.floor(places[name]), math.ceil(places[name])
+            a, b = value[c, low], value[c, high]
+            row.append(a if low == high else (high - places[name]) * a + (places[name] - low) * b)
+        else:
+            row.append(None)
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"`{name}` double" for name in wanted))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:

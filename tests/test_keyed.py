@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.plans.keyed import KeyedRows, table_quantiles
+from tallyspark.ml.split import hash_number, sample_rows
+from tallyspark.plans import keyed
+from tallyspark.plans.keyed import KeyedRows, ranked_values, table_quantiles
 
 
 def random_rows(seed, n=600):
@@ -77,10 +79,54 @@ def test_quantiles(spark, limit):
     for name, (_, p) in wanted.items():
         want = pdf.groupby("k")["v"].quantile(p)
         assert np.allclose(got[name].sort_index(), want.sort_index(), equal_nan=True)
-    one = table_quantiles(df, wanted, limit).first()
+    one = table_quantiles(df, wanted).first()
     assert np.allclose([one["a"], one["b"], one["c"]], pdf["v"].quantile([0.1, 0.5, 0.99]))
 
 
+@pytest.mark.parametrize("buckets", [4, 64, 4096])
+def test_values_at_ranks(spark, monkeypatch, buckets):
+    """Any distribution, any number of buckets: the value a sort would put there."""
+    monkeypatch.setattr(keyed, "BUCKETS", buckets)
+    rnd = np.random.default_rng(buckets)
+    columns = {
+        "even": rnd.random(700), "heavy": np.exp(rnd.normal(0, 40, 700)), "ties": rnd.integers(0, 4, 700).astype(float), "one": np.full(700, 3.5),
+        "ends": np.concatenate([[-np.inf] * 3, rnd.normal(size=690), [np.inf] * 4, [np.nan] * 3]), "wide": np.concatenate([[-1.7e308, 1.7e308, 5e-324, 0.0, 1e-323], rnd.normal(size=695)]),
+    }
+    rows = [tuple(float(columns[c][i]) for c in columns) for i in range(700)] + [(None,) * len(columns)] * 9
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(3)
+    wanted = [(c, r) for c in columns for r in (0, 2, 3, 350, 696, 699)]
+    want = [np.sort(columns[c])[r] for c, r in wanted]
+    assert np.array_equal(ranked_values(df, wanted), want, equal_nan=True)
+    with pytest.raises(ValueError):
+        ranked_values(df, [("even", 700)])
+    none = table_quantiles(df.filter("one IS NULL"), {"a": ("one", 0.5)}).first()
+    assert none["a"] is None
+    two = table_quantiles(df, {"a": ("even", 0.123), "b": ("ties", 0.9)}).first()
+    assert np.allclose([two["a"], two["b"]], [np.quantile(columns["even"], 0.123), np.quantile(columns["ties"], 0.9)])
+
+
+def test_no_task_reads_more_than_the_buckets(spark):
+    """What meets behind the exchange is bounded by buckets and ranks, not by rows."""
+    df = spark.range(200_000).select((F.rand(3) * 1e9).alias("v"))
+    seen = []
+    kind = type(df)
+    real = kind.collect
+    kind.collect = lambda self: seen.append(real(self)) or seen[-1]
+    try:
+        ranked_values(df, [("v", 100_000), ("v", 7)])
+    finally:
+        kind.collect = real
+    assert 1 < len(seen) <= 4 and max(map(len, seen)) <= 2 * (keyed.BUCKETS + 3)
+
+
+def test_sample_by_selection(spark):
+    df = spark.range(5000).select((F.col("id") % 4900).alias("id"))
+    want = sorted((r.h, r.id) for r in df.select("id", hash_number("42", F.col("id")).alias("h")).collect())
+    for size in (0, 1, 99, 4999, 6000):
+        got = sorted(r.id for r in sample_rows(df, size, "id").collect())
+        assert got == sorted(i for _, i in want[:size])
+
+
 def test_attach_splits_hot_keys(spark):
     df = frame(spark, random_rows(8))
     stats = df.groupBy("k").agg(F.count("*").alias("n"))
