@@ -372,9 +372,14 @@ def _shown(df, key, *more):
 
 
 def _cards(spark, folder):
-    """Card rows with engineered features and folds, and the columns to learn from."""
+    """Card rows with engineered features and folds, and the columns to learn from.
+
+    The features are written and read again: a checkpoint keeps what the optimizer knows of their expressions, which then takes it minutes in every later step.
+    """
     rows, columns = jobs.fraud_features(views.v_features(spark, folder))
-    return cut(split.stratified_folds(rows, "class", "id")), columns
+    path = fresh_dir(spark, "cards")
+    rows.write.parquet(path)
+    return cut(split.stratified_folds(spark.read.schema(rows.schema).parquet(path), "class", "id")), columns
 
 
 _FITTED: dict[tuple[str, str, str], object] = {}
