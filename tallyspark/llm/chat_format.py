@@ -31,7 +31,9 @@ TRAINED = ("assistant",)  # roles whose texts are under the loss mask
 SEGMENT_TURNS, SEGMENT_CHARS = 256, 4_000_000
 
 _ANY = re.compile("|".join(map(re.escape, CONTROL + FOREIGN)))
-_BROKEN = re.compile("|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROL + FOREIGN))
+#: Control strings, also with back slashes after the first character.
+BROKEN = "|".join(f"{re.escape(c[0])}\\\\*{re.escape(c[1:])}" for c in CONTROL + FOREIGN)
+_BROKEN = re.compile(BROKEN)
 
 SEGMENTS = "segment int, formatted string, loss array<struct<start:int,end:int>>"
 DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
