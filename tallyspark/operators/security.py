@@ -155,3 +155,22 @@ def audit_log(scored: DataFrame) -> DataFrame:
         F.col("ts").alias("at"),
         F.col("risk").alias("risk_score"),
     )
+
+
+# -- requests and endpoints over windows -------------------------------------------------
+
+# Requests per hour and in bursts of one address; window and step of endpoint error shares.
+REQUESTS, BURST, REQUEST_WINDOW = 20, 25, "1 hour"
+HEALTH_WINDOW, HEALTH_STEP = "1 hour", "15 minutes"
+
+
+def request_counts(requests: DataFrame, client: str = "client", ts: str = "ts", window: str = REQUEST_WINDOW) -> DataFrame:
+    """Requests per client and window, and whether they pass the limit and the burst; batch, or a stream with a watermark."""
+    counted = requests.groupBy(client, F.window(ts, window).alias("w")).agg(F.count("*").alias("requests"))
+    return counted.select(client, F.col("w.start").alias("window_start"), "requests", (F.col("requests") > REQUESTS).alias("over_limit"), (F.col("requests") > BURST).alias("over_burst"))
+
+
+def endpoint_errors(calls: DataFrame, endpoint: str = "endpoint", ts: str = "ts", window: str = HEALTH_WINDOW, step: str = HEALTH_STEP) -> DataFrame:
+    """Calls, failures and their share per endpoint over sliding windows; batch, or a stream with a watermark."""
+    counted = calls.groupBy(endpoint, F.window(ts, window, step).alias("w")).agg(F.count("*").alias("calls"), F.count_if(~F.col("success")).alias("failures"))
+    return counted.select(endpoint, F.col("w.start").alias("window_start"), "calls", "failures", (F.col("failures") / F.col("calls")).alias("error_share"))

@@ -113,31 +113,15 @@ h({key}, i, id, ignored, failures, until) AS (
 """
 
 
-def limit_sql(src, key, requests, burst, seconds):
-    """Renewing counters as a recursion over the rows of each key."""
-    count = "(CASE WHEN h.until IS NOT NULL AND r.ts >= h.until THEN 0 ELSE h.n END)"
-    size = max(requests, burst)
-    return f"""
-r AS (SELECT id, {key}, ts, row_number() OVER (PARTITION BY {key} ORDER BY ts, id) AS i FROM {src}),
-h({key}, i, id, allowed, remaining, n, until) AS (
-  SELECT DISTINCT {key}, 0::BIGINT, NULL::BIGINT, FALSE, 0::BIGINT, 0::BIGINT, NULL::TIMESTAMP FROM r
-  UNION ALL
-  SELECT r.{key}, r.i, r.id, {count} < {size},
-    CASE WHEN {count} < {requests} THEN {requests} - {count} - 1 WHEN {count} < {size} THEN {burst} - {count} - 1 ELSE 0 END,
-    CASE WHEN {count} < {size} THEN {count} + 1 ELSE {count} END,
-    CASE WHEN {count} < {size} THEN r.ts + INTERVAL {seconds} SECOND ELSE h.until END
-  FROM h JOIN r ON r.{key} = h.{key} AND r.i = h.i + 1)
-"""
-
-
 LOCKOUT_SQL = (
     f"WITH RECURSIVE {hold_sql('logins', 'user_id', 5, 1800)} SELECT id, user_id, ignored, failures, "
     "coalesce(epoch_us(until), -1) AS blocked_until FROM h WHERE id IS NOT NULL"
 )
-LIMIT_SQL = (
-    f"WITH RECURSIVE l AS (SELECT id, ip AS client, ts FROM logins), {limit_sql('l', 'client', 20, 25, 3600)} "
-    "SELECT id, client, allowed, remaining FROM h WHERE id IS NOT NULL"
-)
+def request_sql(closed=""):
+    return (
+        "SELECT ip AS client, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS requests, "
+        f"count(*) > {security.REQUESTS} AS over_limit, count(*) > {security.BURST} AS over_burst FROM logins GROUP BY 1, 2 {closed}"
+    )
 
 
 @query("R7", views="logins", sql=LOCKOUT_SQL)
@@ -146,28 +130,20 @@ def lockouts(spark, folder):
     return out.drop("ts", "success")
 
 
-@query("R9", views="logins", sql=LIMIT_SQL)
+@query("R9", views="logins", sql=request_sql())
 def rate_limits(spark, folder):
-    """Each address may make 20 requests, 25 in bursts, per renewing hour."""
-    requests = views.logins(spark, folder).select("id", F.col("ip").alias("client"), "ts")
-    return folds.rate_limited(requests, folds.Limit(requests=20, burst=25, seconds=3600)).drop("ts")
+    """Requests of each address per hour, and which hours pass the limit."""
+    return security.request_counts(views.logins(spark, folder).select(F.col("ip").alias("client"), "ts"))
 
 
 @query(
     "R10",
-    sql=f"""
-WITH RECURSIVE calls AS (SELECT event_id AS id, event_type AS endpoint, ts, value >= 60 AS success FROM events), {hold_sql("calls", "endpoint", 5, 60)},
-s AS (SELECT r.endpoint, r.ts, r.id, CASE WHEN h.until IS NULL THEN 'closed' ELSE 'open' END AS state FROM h JOIN r ON h.id = r.id),
-b AS (SELECT *, CASE WHEN lag(state) OVER w IS DISTINCT FROM state THEN 1 ELSE 0 END AS e FROM s WINDOW w AS (PARTITION BY endpoint ORDER BY ts, id)),
-k AS (SELECT *, sum(e) OVER (PARTITION BY endpoint ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS interval_no FROM b)
-SELECT endpoint, CAST(interval_no AS BIGINT) AS "interval", any_value(state) AS state, min(ts) AS started_at, max(ts) AS last_call, count(*) AS calls FROM k GROUP BY 1, 2
+    sql="""
+WITH c AS (SELECT event_type AS endpoint, value < 60 AS failed, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE for i in range(4)]) AS window_start FROM events)
+SELECT endpoint, window_start, count(*) AS calls, count(*) FILTER (failed) AS failures, count(*) FILTER (failed) / count(*)::DOUBLE AS error_share FROM c GROUP BY 1, 2
 """,
 )
 def endpoint_health(spark, folder):
-    calls = table(spark, folder, "events").select(
-        F.col("event_id").alias("id"),
-        F.col("event_type").alias("endpoint"),
-        "ts",
-        (F.col("value") >= 60).alias("success"),
-    )
-    return folds.state_intervals(folds.endpoint_states(calls))
+    """Error share of each endpoint over sliding hours."""
+    calls = table(spark, folder, "events").select(F.col("event_type").alias("endpoint"), "ts", (F.col("value") >= 60).alias("success"))
+    return security.endpoint_errors(calls)

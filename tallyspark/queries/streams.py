@@ -6,10 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tallyspark.ml import jobs
 from tallyspark.operators import folds, security
 from tallyspark.plans.lineage import fresh_dir
 from tallyspark.queries.registry import query
-from tallyspark.queries.security import LIMIT_SQL, LOCKOUT_SQL, RISK_SQL
+from tallyspark.queries.security import LOCKOUT_SQL, RISK_SQL, request_sql
 from tallyspark.sources import views
 from tallyspark.sources.payloads import message_id
 from tallyspark.sources.tables import table
@@ -218,19 +219,34 @@ def _logins(spark, folder):
     )
 
 
-@query("R7 R10", views="logins", sql=LOCKOUT_SQL)
+@query("R7", views="logins", sql=LOCKOUT_SQL)
 def streamed_lockouts(spark, folder):
     state.use_rocksdb(spark)
     stream = state.run_machine(_logins(spark, folder).select("user_id", "id", "ts", "success"), folds.LOCKOUT, "user_id")
     return _finished(spark, stream, "lockouts")
 
 
-@query("R9", views="logins", sql=LIMIT_SQL)
+@query("R9", views="logins", sql=request_sql("HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM logins)"))
 def streamed_rate_limits(spark, folder):
-    state.use_rocksdb(spark)
-    requests = _logins(spark, folder).select(F.col("ip").alias("client"), "id", "ts")
-    stream = state.run_machine(requests, folds.Limit(20, 25, 3600), "client", "string")
-    return _finished(spark, stream, "limits")
+    """Requests of each address per hour that the watermark has closed."""
+    requests = _logins(spark, folder).select(F.col("ip").alias("client"), "ts").withWatermark("ts", "10 minutes")
+    return _local(_finished(spark, security.request_counts(requests), "requests"))
+
+
+@query("M15", views="v_features", sql="SELECT count(*) AS scored, 0::BIGINT AS mismatches, 1::BIGINT AS versions FROM v_features")
+def streamed_model_scores(spark, folder):
+    """A stream scored by the latest stored version of a vote, against the batch scores of that vote."""
+    from tallyspark.queries.models import _small_vote
+
+    rows, vote = _small_vote(spark, folder)
+    path = fresh_dir(spark, "scored")
+    jobs.save_version(vote, f"{path}/models")
+    stream = ingest.file_stream(spark, folder, "embeddings.parquet", table(spark, folder, "embeddings").schema, ts=None)
+    ready = stream.select(F.col("vec_id").alias("id"), *[F.element_at("embedding", i).cast("double").alias(f"V{i}") for i in range(1, views.V_COUNT + 1)])
+    scores = jobs.scored_stream(ready, ["id"], f"{path}/models", f"{path}/scores", f"{path}/log")
+    both = vote.transform(rows).select("id", F.element_at("probability", 2).alias("batch")).join(scores, "id", "full")
+    wrong = F.coalesce(F.abs(F.element_at("probability", 2) - F.col("batch")) > 1e-12, F.lit(True))
+    return both.agg(F.count("*").alias("scored"), F.count_if(wrong).alias("mismatches"), F.countDistinct("version").alias("versions"))
 
 
 @query(

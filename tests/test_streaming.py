@@ -100,3 +100,39 @@ def test_streamed_risk_forgets_after_thirty_days(spark, scratch):
     assert got == {0: 50, 1: 0, 2: 0, 3: 50, 4: 0, 5: 0}
     batch = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert {r["id"]: r["risk"] for r in security.login_risk(batch.drop("attempt_count")).collect()} == got
+
+
+def test_stream_scores_pick_up_new_versions(spark, scratch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    from tallyspark.ml import ensembles, jobs
+
+    schema = "id int, y double, a double, b double"
+    rows = [(i, float(i % 2), float(i % 2) + i / 100, float(i % 7)) for i in range(40)]
+    df = spark.createDataFrame(rows, schema)
+    prepare = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="f")])
+    votes = [ensembles.SoftVote.fit(df, prepare, [ensembles.boosted_trees("y", "f", n, 2), ensembles.logistic("y", "f")]) for n in (1, 3)]
+    stream = lambda: ingest.file_stream(spark, f"{scratch}/in", "*.parquet", df.schema, ts=None)
+    run = lambda: jobs.scored_stream(stream(), ["id"], f"{scratch}/models", f"{scratch}/out", f"{scratch}/log")
+    put(spark, f"{scratch}/in", rows[:15], schema)
+    assert jobs.latest_version(spark, f"{scratch}/models") is None and jobs.save_version(votes[0], f"{scratch}/models") == 1
+    assert {r.version for r in run().collect()} == {1}
+    put(spark, f"{scratch}/in", rows[15:], schema)
+    assert jobs.save_version(votes[1], f"{scratch}/models") == 2
+    found = {r.id: r for r in run().collect()}
+    assert len(found) == 40 and [found[i].version for i in (0, 14, 15, 39)] == [1, 1, 2, 2]
+    for version, vote in enumerate(votes, 1):
+        for r in vote.transform(df).collect():
+            if found[r.id].version == version:
+                assert abs(found[r.id].probability[1] - r.probability[1]) < 1e-12
+
+
+def test_request_and_endpoint_windows(spark, scratch):
+    calls = [("a", T0 + timedelta(minutes=m), m % 3 > 0) for m in range(30)] + [("b", T0 + timedelta(minutes=59, seconds=59), False), ("b", T0 + timedelta(minutes=60), True)]
+    df = spark.createDataFrame(calls, "endpoint string, ts timestamp, success boolean")
+    health = {(r.endpoint, r.window_start): (r.calls, r.failures, r.error_share) for r in security.endpoint_errors(df).collect()}
+    assert health["a", T0] == (30, 10, 10 / 30) and health["a", T0 - timedelta(minutes=45)] == (15, 5, 5 / 15)
+    assert health["b", T0] == (1, 1, 1.0) and health["b", T0 + timedelta(minutes=15)] == (2, 1, 0.5)
+    counts = {(r.client, r.window_start): (r.requests, r.over_limit, r.over_burst) for r in security.request_counts(df.withColumnRenamed("endpoint", "client")).collect()}
+    assert counts["a", T0] == (30, True, True) and counts["b", T0] == (1, False, False) == counts["b", T0 + timedelta(hours=1)]
