@@ -7,10 +7,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import safe_div
+from tallyspark.operators.cleaning import observed
 from tallyspark.plans.keyed import KeyedRows, table_quantiles, with_scalars
 from tallyspark.plans.lineage import cut
 
@@ -129,23 +130,30 @@ def detect(df: DataFrame, keys: Sequence[str], value: str, method: str = "ensemb
 
 
 def handle_outliers(
-    df: DataFrame, columns: Sequence[str], target: str | None = None, least: int = 10
+    df: DataFrame, columns: Sequence[str], target: str | None = None, least: int = 10, watches: dict | None = None
 ) -> DataFrame:
     """Column by column: clip the target to its 1st-99th percentile if any value has
     two votes; drop rows where another column has three.  Later columns see the rows
-    left by earlier ones, so each step ends in a reliable checkpoint."""
+    left by earlier ones, so each step ends in a reliable checkpoint.
+
+    ``watches`` gets an observation per column: rows, outliers (two votes), and values clipped or rows removed."""
     kept = df.columns
+    watches = {} if watches is None else watches
     for i, c in enumerate(columns):
         voted = outlier_votes(df, [], c)
         if c == target:
             limits = table_quantiles(df, {"_p1": (c, 0.01), "_p99": (c, 0.99)})
-            found = voted.agg(F.coalesce(F.max(F.col("votes") >= 2), F.lit(False)).alias("_found"))
+            found = voted.agg(F.coalesce(F.max(F.col("votes") >= 2), F.lit(False)).alias("_found"), F.count_if(F.col("votes") >= 2).alias("_outliers"))
             bounded = with_scalars(with_scalars(df, limits), found)
             clipped = F.greatest(F.least(F.col(c), F.col("_p99")), F.col("_p1"))
+            watches[c] = Observation(f"outliers {c}")
+            changed = F.count_if(F.col("_found") & (clipped != F.col(c)))
+            bounded = bounded.observe(watches[c], F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("_outliers"), F.lit(0)).alias("outliers"), changed.alias("changed"))
             df = bounded.withColumn(
                 c, F.when(F.col("_found") & F.col(c).isNotNull(), clipped).otherwise(F.col(c))
             ).select(*kept)
         else:
+            voted, watches[c] = observed(voted, f"outliers {c}", outliers=F.col("votes") >= 2, changed=F.col("votes") >= 3)
             df = voted.filter(F.col("votes") < 3).select(*kept)
         if i + 1 < len(columns):
             df = cut(df)

@@ -26,18 +26,50 @@ def clean_financial_data(
     nor treated as measurements.  Profiles are taken between steps, so the rows are
     checkpointed where a later step would repeat an earlier one.
     """
-    before = df.count()
-    rows = cut(cleaning.basic_cleaning(df))
+    rows, scores, _ = cleaned_with_counts(df, keys, order, as_of, target, formats, outlier_columns)
+    return rows, scores
+
+
+COUNTS = "place int, step string, counter string, n long"
+
+
+def cleaned_with_counts(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    as_of: Column,
+    target: str | None = None,
+    formats: dict[str, str] | None = None,
+    outlier_columns: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``clean_financial_data``, and the counters (``place, step, counter, n``) that were observed while the rows flowed through its steps."""
+    watches = {}
+
+    def watched(rows: DataFrame, name: str) -> DataFrame:
+        rows, watches[name] = cleaning.observed(rows, name)
+        return rows
+
+    rows = cut(watched(cleaning.basic_cleaning(watched(df, "rows in")), "basic cleaning"))
     rows = cut(cleaning.fill_missing(rows, keys, order))
     fixed = {*keys, *order}
     measured = outlier_columns or [c for c in cleaning.numeric_columns(rows) if c not in fixed]
-    rows = anomaly.handle_outliers(rows, measured, target)
-    rows = cut(cleaning.standardise_formats(rows, formats))
+    found: dict = {}
+    rows = anomaly.handle_outliers(rows, measured, target, watches=found)
+    rows = cut(watched(cleaning.standardise_formats(rows, formats), "outliers"))
     rows = cleaning.quality_columns(rows, keys, order)
     if "transaction_type" in rows.columns and "amount" in rows.columns:
         rows = cleaning.repair_signs(rows)
-    rows = cut(cleaning.drop_impossible_times(rows, as_of))
-    return rows, quality.scores(rows, before, as_of)
+    rows = cut(watched(cleaning.drop_impossible_times(rows, as_of), "possible times"))
+    named = [*watches.items(), *((f"outliers in {c}", w) for c, w in found.items())]
+    counters = [(i, step, counter, int(n)) for i, (step, w) in enumerate(named) for counter, n in sorted(w.get.items())]
+    before = int(watches["rows in"].get["rows"])
+    return rows, quality.scores(rows, before, as_of), df.sparkSession.createDataFrame(counters, COUNTS)
+
+
+def append_counts(counts: DataFrame, path: str, run: str) -> DataFrame:
+    """Adds the counters of a run to a table of all runs and returns it."""
+    counts.select(F.lit(run).alias("run"), "*").coalesce(1).write.mode("append").parquet(path)
+    return counts.sparkSession.read.schema(f"run string, {COUNTS}").parquet(path)
 
 
 def cleaning_counts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import anomaly, cleaner, cleaning, quality
 from tallyspark.plans.keyed import table_quantiles, with_scalars
 from tallyspark.queries.bars import rounded
+from tallyspark.plans.lineage import fresh_dir
 from tallyspark.queries.registry import query
 from tallyspark.sources import views
 from tallyspark.sources.tables import table
@@ -434,6 +435,24 @@ cleaned AS (SELECT id, key, ts, transaction_type, category, CASE WHEN transactio
 """
 
 
+@query(
+    "A18 D15",
+    views="readings",
+    sql=f"""
+WITH {_DIRTY_SQL}, counters AS (
+  SELECT (SELECT count(*) + count(*) FILTER (id % 10 = 3) FROM readings) AS rows_in, (SELECT count(*) FROM f) AS basic, (SELECT count(*) FROM o) AS after, (SELECT count(*) FROM cleaned) AS rows_out,
+    (SELECT count(*) FROM v WHERE votes >= 2) AS outliers, (SELECT count(*) FROM v, lim, hit WHERE hit AND greatest(least(amount, p99), p1) <> amount) AS changed)
+SELECT 'first' AS run, unnest(['rows in', 'basic cleaning', 'outliers', 'possible times', 'outliers in amount', 'outliers in amount', 'outliers in amount']) AS step,
+  unnest(['rows', 'rows', 'rows', 'rows', 'changed', 'outliers', 'rows']) AS counter, unnest([rows_in, basic, after, rows_out, changed, outliers, basic]) AS n FROM counters
+""",
+)
+def observed_cleaning(spark, folder):
+    """Counters of a whole cleaning run, gathered on its way and added to a table of runs."""
+    dirty = _dirty(spark, folder)
+    _, _, counts = cleaner.cleaned_with_counts(dirty, KEY, ORDER, F.lit(EVENTS_AS_OF).cast("timestamp_ntz"), target="amount")
+    return cleaner.append_counts(counts, fresh_dir(spark, "counters"), "first").drop("place")
+
+
 def _cleaned(spark, folder):
     return cleaner.clean_financial_data(
         _dirty(spark, folder),
