@@ -3,9 +3,11 @@
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import Pipeline
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tallyspark.ml import ensembles, features, iforest, jobs, metrics, neighbours, split
+from tallyspark.ml.ensembles import SoftVote
 
 
 def points(spark, n=240, seed=0):
@@ -138,3 +140,12 @@ def test_search_points():
     assert all(30 <= p["maxIter"] <= 100 and 0.05 <= p["stepSize"] <= 0.3 for p in draws)
     assert len(jobs.grid_points({"a": range(10), "b": range(10)}, choose=7)) == 7
     assert len(jobs.grid_points({"a": range(40), "b": range(40)})) == 1600
+
+
+def test_votes_score_in_a_session_that_has_observed_a_table(spark):
+    df = points(spark)
+    watch = Observation("rows")
+    df.observe(watch, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert watch.get == {"n": 240}
+    vote = SoftVote.fit(df, Pipeline(stages=[VectorAssembler(inputCols=V, outputCol="features")]), [ensembles.random_forest("class", "features", 3, 3)])
+    assert vote.transform(df).filter("probability[1] BETWEEN 0 AND 1").count() == 240
