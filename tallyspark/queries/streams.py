@@ -10,7 +10,7 @@ from tallyspark.ml import jobs
 from tallyspark.operators import folds, security
 from tallyspark.plans.lineage import fresh_dir
 from tallyspark.queries.registry import query
-from tallyspark.queries.security import LOCKOUT_SQL, RISK_SQL, request_sql
+from tallyspark.queries.security import LIMIT_SQL, LOCKOUT_SQL, RISK_SQL, request_sql
 from tallyspark.sources import views
 from tallyspark.sources.payloads import message_id
 from tallyspark.sources.tables import table
@@ -227,12 +227,20 @@ def streamed_lockouts(spark, folder):
 
 
 @query("R9", views="logins", sql=request_sql("HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM logins)"))
-def streamed_rate_limits(spark, folder):
+def streamed_requests_per_hour(spark, folder):
     """Requests of each address per hour that the watermark has closed."""
     requests = _logins(spark, folder).select(F.col("ip").alias("client"), "ts").withWatermark("ts", "10 minutes")
     return _local(_finished(spark, security.request_counts(requests), "requests"))
 
 
+@query("R9", views="logins", sql=LIMIT_SQL)
+def streamed_rate_limits(spark, folder):
+    state.use_rocksdb(spark)
+    requests = _logins(spark, folder).select(F.col("ip").alias("client"), "id", "ts")
+    stream = state.run_machine(requests, folds.Limit(20, 25, 3600), "client", "string")
+    return _finished(spark, stream, "limits")
+
+
 @query("M15", views="v_features", sql="SELECT count(*) AS scored, 0::BIGINT AS mismatches, 1::BIGINT AS versions FROM v_features")
 def streamed_model_scores(spark, folder):
     """A stream scored by the latest stored version of a vote, against the batch scores of that vote."""

@@ -35,6 +35,7 @@ HOT = {
     "nested_posts": 3,
     "quiz_results": 20,
     "lockouts": 30,
+    "rate_limits": 30,
     "unusual_hours": 100,
     "ranking_metrics": 100,
     "stratified_folds": 10,
