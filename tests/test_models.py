@@ -7,6 +7,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tallyspark.ml import ensembles, features, iforest, jobs, metrics, neighbours, split
+from tallyspark.ml.arrays import dealt
 from tallyspark.ml.ensembles import SoftVote
 
 
@@ -149,3 +150,11 @@ def test_votes_score_in_a_session_that_has_observed_a_table(spark):
     assert watch.get == {"n": 240}
     vote = SoftVote.fit(df, Pipeline(stages=[VectorAssembler(inputCols=V, outputCol="features")]), [ensembles.random_forest("class", "features", 3, 3)])
     assert vote.transform(df).filter("probability[1] BETWEEN 0 AND 1").count() == 240
+
+
+def test_forests_are_fitted_on_rows_dealt_out(spark):
+    rows = spark.range(0, 5000, 1, 1).select("id", (F.col("id") % 2).cast("double").alias("y"))
+    parts = dealt(rows).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(parts) == 3 and sum(r["count"] for r in parts) == 5000 and max(r["count"] for r in parts) < 2000
+    assert dealt(rows.limit(100)).count() == 100
+    assert ensembles.random_forest("y", "f").getCacheNodeIds()
