@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tallyspark.plans.keyed import KeyedRows, null_safe_join
 
 FREE = -1  # "block ends at" of a state that is not blocked
+NO_TIME = 2**62  # a null time: comes last, neither ends a block nor begins one
 
 
 @dataclass(frozen=True)
@@ -52,7 +53,7 @@ class Hold:
                 count, until = 0, FREE
             else:
                 count += 1
-                until = int(t[i]) + self.span if count >= self.failures else FREE
+                until = int(t[i]) + self.span if count >= self.failures and t[i] != NO_TIME else FREE
             counts[i], ends[i] = count, until
         return {"ignored": ignored, "failures": counts, "blocked_until": ends}, (count, until)
 
@@ -94,11 +95,11 @@ class Limit:
         n = len(t)
         allowed, left = np.zeros(n, bool), np.zeros(n, np.int64)
         for i in range(n):
-            if until != FREE and t[i] >= until:
+            if until != FREE and NO_TIME != t[i] >= until:
                 count, until = 0, FREE
             if count < self.size:
                 left[i] = (self.requests if count < self.requests else self.burst) - count - 1
-                allowed[i], count, until = True, count + 1, int(t[i]) + self.span
+                allowed[i], count, until = True, count + 1, int(t[i]) + self.span if t[i] != NO_TIME else FREE
         return {"allowed": allowed, "remaining": left}, (count, until)
 
     def effects(self, t: np.ndarray, ok: np.ndarray):
@@ -160,10 +161,10 @@ def _entry(machine, effect: pd.Series, count: int, until: int) -> tuple[int, int
 def fold_by_key(
     df: DataFrame, keys: Sequence[str], ts: str, tie: str, ok: str | None, machine, limit: int | None = None
 ) -> DataFrame:
-    """Runs the machine over the rows of each key in (ts, tie) order; adds its output columns."""
+    """Runs the machine over the rows of each key in (ts, tie) order, null times last; adds its output columns. A null ``ok`` is a failure."""
     keys = list(keys)
     slim = df.withColumns(
-        {"_t": F.unix_micros(F.col(ts).cast("timestamp")), "_ok": F.col(ok) if ok else F.lit(True)}
+        {"_t": F.unix_micros(F.col(ts).cast("timestamp")), "_ok": F.coalesce(ok, F.lit(False)) if ok else F.lit(True)}
     )
     rows = KeyedRows(slim, keys, [ts, tie], limit)
     wanted = [*df.columns, *[p.split()[0] for p in machine.output.split(", ")]]
@@ -173,7 +174,7 @@ def fold_by_key(
         group = group.sort_values([ts, tie])
         count = int(group["_count"].iloc[0]) if "_count" in group else 0
         until = int(group["_until"].iloc[0]) if "_until" in group else FREE
-        out, _ = machine.fold(group["_t"].to_numpy(), group["_ok"].to_numpy(bool), count, until)
+        out, _ = machine.fold(group["_t"].fillna(NO_TIME).to_numpy(np.int64), group["_ok"].to_numpy(bool), count, until)
         return group.assign(**out)[wanted]
 
     if rows.hot is None:
@@ -186,6 +187,8 @@ def fold_by_key(
 
     def tabulate(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([ts, tie])
+        if group["_t"].isna().any():
+            raise ValueError("a key with this many rows needs a time in each")
         effect = effect_table(machine, group["_t"].to_numpy(), group["_ok"].to_numpy(bool))
         head = group.iloc[:1][[*keys, "_piece"]].copy()
         for name, value in effect.items():
@@ -213,7 +216,7 @@ def fold_by_key(
     started = null_safe_join(pieces, entries, [*keys, "_piece"], "inner")
     hot = started.groupBy(*keys, "_piece").applyInPandas(run, schema)
     if isinstance(machine, Hold):
-        hot = _true_failures(rows.on(hot), F.col(ok)).select(*cold.columns)
+        hot = _true_failures(rows.on(hot), F.coalesce(ok, F.lit(False))).select(*cold.columns)
     return cold.unionByName(hot)
 
 

@@ -89,3 +89,12 @@ def test_hot_key_pieces_equal_one_group(spark, machine):
     parts = folds.fold_by_key(df, ["user"], "ts", "id", "success", machine, limit=40)
     assert parts.count() == len(rows)
     assert whole.exceptAll(parts).count() == 0
+
+
+def test_null_times_come_last_and_renew_nothing(spark):
+    rows = [("a", 1, START, True), ("a", 2, START + timedelta(seconds=500), None), ("a", 3, None, False), ("a", 4, None, None)]
+    df = spark.createDataFrame(rows, "client string, id long, ts timestamp, success boolean")
+    limited = folds.fold_by_key(df, ["client"], "ts", "id", None, folds.Limit(2, 2, 400)).orderBy("id").collect()
+    assert [(r.allowed, r.remaining) for r in limited] == [(True, 1), (True, 1), (True, 0), (False, 0)]
+    held = folds.fold_by_key(df, ["client"], "ts", "id", "success", folds.Hold(2, 60)).orderBy("id").collect()
+    assert [(r.failures, r.blocked_until) for r in held] == [(0, -1), (1, -1), (2, -1), (3, -1)]

@@ -153,8 +153,8 @@ def test_votes_score_in_a_session_that_has_observed_a_table(spark):
 
 
 def test_forests_are_fitted_on_rows_dealt_out(spark):
-    rows = spark.range(0, 5000, 1, 1).select("id", (F.col("id") % 2).cast("double").alias("y"))
+    rows = spark.range(0, 9000, 1, 1).select("id", (F.col("id") % 2).cast("double").alias("y"))
     parts = dealt(rows).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
-    assert len(parts) == 3 and sum(r["count"] for r in parts) == 5000 and max(r["count"] for r in parts) < 2000
+    assert len(parts) == 3 and sum(r["count"] for r in parts) == 9000 and max(r["count"] for r in parts) < 4000
     assert dealt(rows.limit(100)).count() == 100
     assert ensembles.random_forest("y", "f").getCacheNodeIds()
