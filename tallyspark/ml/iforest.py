@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.exprs import uniform
 from tallyspark.operators.anomaly import density_noise, robust_scaled
 from tallyspark.plans.keyed import table_quantiles, with_scalars
+from tallyspark.plans.lineage import cut
 from tallyspark.sources.tables import spread
 
 # Forest size, rows per tree, share of anomalies, least rows to fit.
@@ -40,10 +41,10 @@ def grow(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
             continue
         feature = int(rng.choice(spread))
         column = part[:, feature]
-        cut = float(rng.uniform(column.min(), column.max()))
-        below = column <= cut
+        border = float(rng.uniform(column.min(), column.max()))
+        below = column <= border
         left, right = len(nodes), len(nodes) + 1
-        nodes[at] = (feature, cut, left, right, 0.0)
+        nodes[at] = (feature, border, left, right, 0.0)
         nodes += [(), ()]
         todo += [(left, part[below], depth + 1), (right, part[~below], depth + 1)]
     return nodes
@@ -76,8 +77,32 @@ def fit_forest(df: DataFrame, features: Sequence[str], key: str, seed: int = 42)
     return chosen.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
+def walked(x: np.ndarray, trees: Sequence[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Path lengths of rows of features, added up over the trees."""
+    total = np.zeros(len(x))
+    for feature, at, left, right, length in trees:
+        node = np.zeros(len(x), int)
+        inner = feature[node] >= 0
+        while inner.any():
+            f = feature[node]
+            low = x[np.arange(len(x)), np.maximum(f, 0)] <= at[node]
+            node = np.where(inner, np.where(low, left[node], right[node]), node)
+            inner = feature[node] >= 0
+        total += length[node]
+    return total
+
+
+def steps(trees: Sequence[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """The added path lengths over a single feature, a step function: upper ends of all steps but the last, and the length on each."""
+    ends = np.unique(np.concatenate([at[feature >= 0] for feature, at, *_ in trees]))
+    return ends, walked(np.append(ends, np.inf)[:, None], trees)
+
+
 def score_forest(df: DataFrame, nodes: DataFrame, features: Sequence[str], name: str = "iso_score") -> DataFrame:
-    """Adds the score 2^(-mean path / expected path); higher is more isolated."""
+    """Adds the score 2^(-mean path / expected path); higher is more isolated.
+
+    Rows of one feature are looked up among the forest's steps, others walk down every tree.
+    """
     names = list(features)
     # The model has a fixed upper size, so it may travel through the driver.
     model = nodes.orderBy("tree", "node").toPandas()
@@ -85,24 +110,17 @@ def score_forest(df: DataFrame, nodes: DataFrame, features: Sequence[str], name:
         (g["feature"].to_numpy(), g["at"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(), g["length"].to_numpy())
         for _, g in model.groupby("tree")
     ]
-    shared = df.sparkSession.sparkContext.broadcast(trees)
-    expected = mean_path(TREE_ROWS)
+    single = len(names) == 1 and len(trees) > 0
+    shared = df.sparkSession.sparkContext.broadcast(steps(trees) if single else trees)
+    count, expected = len(trees), mean_path(TREE_ROWS)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = shared.value
+        held = shared.value
         for batch in batches:
             x = batch[names].to_numpy(float)
-            total = np.zeros(len(x))
-            for feature, at, left, right, length in forest:
-                node = np.zeros(len(x), int)
-                inner = feature[node] >= 0
-                while inner.any():
-                    f = feature[node]
-                    low = x[np.arange(len(x)), np.maximum(f, 0)] <= at[node]
-                    node = np.where(inner, np.where(low, left[node], right[node]), node)
-                    inner = feature[node] >= 0
-                total += length[node]
-            yield batch.assign(**{name: 2 ** (-(total / len(forest)) / expected)})
+            # NaN takes the last step, as it goes right at every node.
+            total = held[1][np.searchsorted(held[0], x[:, 0])] if single else walked(x, held)
+            yield batch.assign(**{name: 2 ** (-(total / count) / expected)})
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {name} double"
     return spread(df).mapInPandas(score, schema)
@@ -112,7 +130,8 @@ def isolation_flags(df: DataFrame, features: Sequence[str], key: str, name: str
     """Flags the tenth of rows with the highest scores; none below 50 rows, where the score is null."""
     if df.limit(LEAST_ROWS).count() < LEAST_ROWS:
         return df.withColumns({"iso_score": F.lit(None).cast("double"), name: F.lit(False)})
-    scored = score_forest(df, fit_forest(df, features, key), features)
+    # The limit is selected in several passes and the flags are read again, so rows are scored once.
+    scored = cut(score_forest(df, fit_forest(df, features, key), features))
     limit = table_quantiles(scored, {"_limit": ("iso_score", 1 - CONTAMINATION)})
     return with_scalars(scored, limit).withColumn(name, F.col("iso_score") > F.col("_limit")).drop("_limit")
 

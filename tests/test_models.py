@@ -130,6 +130,17 @@ def test_neighbours_of_clusters_visit_few_blocks(spark):
     assert neighbours.nearest(df.limit(0), "id", "f").count() == 0
 
 
+def test_rows_of_one_feature_take_the_forests_steps(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") == 7, float("nan")).otherwise(F.floor(F.sin("id") * 40) / 4).alias("V1"))
+    nodes = iforest.fit_forest(df.filter("id <> 7"), ["V1"], "id").localCheckpoint()
+    trees = [tuple(g[c].to_numpy() for c in ("feature", "at", "left", "right", "length")) for _, g in nodes.orderBy("tree", "node").toPandas().groupby("tree")]
+    rows = iforest.score_forest(df, nodes, ["V1"]).orderBy("id").toPandas()
+    walk = iforest.walked(rows[["V1"]].to_numpy(float), trees)
+    assert (rows["iso_score"] == 2 ** (-(walk / len(trees)) / iforest.mean_path(iforest.TREE_ROWS))).all()
+    # Rows are scored once, however often the flags are read.
+    assert "MapInPandas" not in iforest.isolation_flags(df, ["V1"], "id")._jdf.queryExecution().toString()
+
+
 def test_small_table_keeps_the_score_column(spark):
     out = iforest.isolation_flags(spark.createDataFrame([(1, 2.0)], "id long, V1 double"), ["V1"], "id")
     assert out.columns == ["id", "V1", "iso_score", "isolated"] and out.first().iso_score is None
