@@ -4,6 +4,7 @@ import hashlib
 import hmac
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyspark.operators import security
@@ -87,6 +88,57 @@ def test_event_routes(spark):
     assert sorted(r["priority"] for r in ingest.alert_rows(events).collect()) == ["high", "medium"]
 
 
+class Stored:
+    """A value or a map of the state store that counts its look-ups."""
+
+    def __init__(self):
+        self.value, self.items, self.asked = None, {}, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self.items
+
+    def updateValue(self, key, value):
+        self.items[key] = value
+
+    def clear(self):
+        self.items.clear()
+
+
+def test_streamed_risk_asks_for_an_item_once_a_batch():
+    stored = {}
+
+    class Handle:
+        def getValueState(self, name, *schemas):
+            return stored.setdefault(name, Stored())
+
+        getMapState = getValueState
+
+    risk = state.LoginRisk()
+    risk.init(Handle())
+
+    def batch(first, agents):
+        n = 100
+        return pd.DataFrame({"id": range(first, first + n), "ts": [T0 + timedelta(seconds=first + i) for i in range(n)], "success": [i % 2 == 1 for i in range(n)],
+            "ip": "a", "agent": [agents[i % len(agents)] for i in range(n)], "attempt_count": 1})
+
+    risks = next(risk.handleInputRows((1,), iter([batch(0, "xy")]), None))["risk"].tolist()
+    # x only ever fails; a and y succeed in the second row.
+    assert risks[:4] == [50, 50, 20, 0] and stored["ips"].asked == 1 and stored["agents"].asked == 2
+    again = next(risk.handleInputRows((1,), iter([batch(100, "xyz")]), None))["risk"].tolist()
+    assert again[1] == 0 and stored["ips"].asked == 2 and stored["agents"].asked == 5
+    assert set(stored["agents"].items) == {("x",), ("y",), ("z",)}
+
+
 def test_streamed_risk_forgets_after_thirty_days(spark, scratch):
     state.use_rocksdb(spark)
     days = [0, 1, 20, 49, 51, 52]
