@@ -1,5 +1,7 @@
 """Pipelines, ensembles, the model folder (M16, M17), neighbours and the forest."""
 
+import random
+
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml import Pipeline
@@ -169,3 +171,19 @@ def test_forests_are_fitted_on_rows_dealt_out(spark):
     assert len(parts) == 3 and sum(r["count"] for r in parts) == 9000 and max(r["count"] for r in parts) < 4000
     assert dealt(rows.limit(100)).count() == 100
     assert ensembles.random_forest("y", "f").getCacheNodeIds()
+
+
+def test_description_vectors_count_only_pairs_that_may_be_kept(spark):
+    """Pairs of rare words are not counted, and the vectors are those of counting all pairs; keys repeat or are null."""
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("bcdfghjklm") for _ in range(5)) for _ in range(500)]
+    texts = [" ".join(rnd.choice(names[: rnd.choice((20, 330, 500))]) for _ in range(40)) + f" qqq www{chr(97 + i % 26)}xx" + " sss ttt" * (i % 2) for i in range(200)]
+    rows = [(i // 2 if i % 9 else None, t if i % 11 else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, description string")
+    words = features.with_terms(df, features.clean_text(F.coalesce("description", F.lit(""))))
+    of = features._words_of_pairs(features._frequencies(words, "_terms"), 200, features.DESCRIPTION_TERMS)
+    assert 300 <= len(of) < 500 and "qqq" in of
+    plain = features.tfidf(features.with_terms(df, features.clean_text(F.coalesce("description", F.lit(""))), pairs=True), "id", "_terms")
+    shown = lambda v: sorted((str(r.id), r.term, round(r.weight, 9)) for r in v.collect())
+    own = shown(features.description_vectors(df, "id"))
+    assert own == shown(plain) and any(" " in r[1] for r in own)
