@@ -25,11 +25,17 @@ BATCH_WAIT = "1 second"
 def file_stream(
     spark: SparkSession, folder: str, pattern: str, schema: StructType, ts: str | None = "ts", files_per_batch: int | None = None
 ) -> DataFrame:
-    """Parquet files as a stream; a trigger takes all that is there unless bounded."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    """Parquet files as a stream; a trigger takes all that is there unless bounded.
+
+    A pattern without wildcards names a table, which is one file or a folder of files.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.parquet(folder)
+    if any(c in pattern for c in "*?[{"):
+        stream = reader.option("pathGlobFilter", pattern).parquet(folder)
+    else:  # in braces, since a stream takes a single file only as a match
+        stream = reader.parquet(f"{folder}/{{{pattern}}}")
     return stream.withColumn(ts, F.col(ts).cast("timestamp")) if ts else stream
 
 

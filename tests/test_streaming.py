@@ -43,6 +43,22 @@ def test_restart_and_late_rows(spark, scratch):
     assert out == {T0: (0.0, 4.0, 3), T0 + timedelta(minutes=30): (30.0, 30.0, 2)}
 
 
+def test_named_tables_are_files_or_folders(spark, scratch):
+    """A table by its name is streamed whole, whether it is a folder of files or one file, and no other table with it."""
+    import os
+    import shutil
+
+    df = spark.range(90).repartition(3)
+    df.write.parquet(f"{scratch}/in/folder.parquet")
+    df.filter("id < 30").coalesce(1).write.parquet(f"{scratch}/one")
+    part = next(f for f in os.listdir(f"{scratch}/one") if f.endswith(".parquet"))
+    shutil.copy(f"{scratch}/one/{part}", f"{scratch}/in/file.parquet")
+    for name, rows in (("folder", 90), ("file", 30)):
+        drain(ingest.file_stream(spark, f"{scratch}/in", f"{name}.parquet", df.schema, ts=None), f"{scratch}/{name}")
+        found = spark.read.parquet(f"{scratch}/{name}/out")
+        assert (found.count(), found.distinct().count()) == (rows, rows)
+
+
 def test_duplicates_within_the_watermark(spark, scratch):
     put(spark, f"{scratch}/in", [("m1", T0, 0.0), ("m1", T0 + timedelta(minutes=5), 0.0), ("m2", T0, 0.0)])
     stream = ingest.file_stream(spark, f"{scratch}/in", "*.parquet", spark.createDataFrame([], SCHEMA).schema)
